@@ -4,16 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import bpe, quality
 from .common import table
+from .contamination import contaminated
 from .embeddings import near_vectors
+from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .oracle import ORACLE
+from .pii import BASE, joined, personal_spans
+from .store import checksums, write_store
+from .substrings import remove_repeats
 from .urls import judge_urls
 
 __all__ = ["ORACLE", "QUERIES"]
 
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
 #: (verdict, host, path) of the url query.
 RULES = [
     ("allow", "org", "/"),
@@ -32,13 +43,57 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_spans(table(spark, sf_dir, "documents"))
+    counts = [f"n_{k}" for k in BASE]
+    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that it holds a copy of; clean documents have none."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checksums(write_store(table(spark, sf_dir, "documents"), BYTE_BPE))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE), WORD_BPE)
+    return out.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_pii": op4_pii,
+    "op5_quality": op5_quality,
+    "op6_decontamination": op6_decontamination,
+    "op7_licenses": op7_licenses,
+    "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
+    "op10_bpe": op10_bpe,
 }
