@@ -1,34 +1,88 @@
-"""The corpus pipeline: stages over ``documents``, each one operator of ``loomlake.llm``."""
+"""The corpus pipeline: stages over ``documents``, each one operator of ``loomlake.llm``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows it is given. All but the last return the columns
+of ``documents``; other columns of their input are left out. Empty tables pass through as empty ones.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlake.llm.common import Workspace
-from loomlake.llm.minhash import near_duplicates
+from loomlake.llm import bpe, quality
+from loomlake.llm.common import Workspace, table
+from loomlake.llm.contamination import contaminated
+from loomlake.llm.minhash import BROADCAST_ROWS, near_duplicates
+from loomlake.llm.pii import personal_spans, redacted
+from loomlake.llm.queries import WORD_BPE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _without(spark: SparkSession, docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ``keys``: these are broadcast where their number allows, else joined by a shuffle."""
+    keys = Workspace(spark, "drop").save(keys.distinct())
+    few = keys.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(keys) if few else keys, key, "left_anti")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows scored 0.3 or more stay. The model learns from the labels of ``docs`` outside the held-out fold.
+
+    Null and empty texts are scored as texts without characters; repeated rows get equal scores.
+    """
+    docs = docs.select(*COLUMNS)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.with_score(docs, model).where(F.col("__score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one of smallest doc_id.
 
-    Repeated rows of one doc_id count as copies: one of them stays. Rows of null doc_id stay unless they
-    are linked to a document that has one.
+    Of repeated rows of one doc_id one stays. Rows without words, and rows of null doc_id, which cannot be
+    told apart by id, stay: of the latter one for each text.
     """
     docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs).select(F.col("doc_id").alias("__id"), "kept")
-    keep = found.where("kept and __id is not null").groupBy("__id").agg(F.count("*").alias("__n"))
-    keep = Workspace(spark, "kept").save(keep)
-    once = docs.join(keep.where("__n = 1"), F.col("doc_id") == F.col("__id"), "left_semi")
-    again = docs.join(keep.where("__n > 1"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    nulls = docs.where("doc_id is null").dropDuplicates(["text"])
-    return once.unionByName(again).unionByName(nulls)
+    found = near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept")
+    found = Workspace(spark, "groups").save(found)
+    twice = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = Workspace(spark, "twice").save(twice)
+    kept = _without(spark, docs.where("doc_id is not null"), found.where("not kept").select("doc_id"), "doc_id")
+    if not twice.isEmpty():
+        kept = _without(spark, kept, twice, "doc_id").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*COLUMNS)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a copy of a benchmark item go; rows are told apart by id and text."""
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
+    return _without(spark, keyed, found.select("__key"), "__key").select(*COLUMNS)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind in brackets; n_chars is the new text's length."""
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = personal_spans(keyed, id_col="__key").where(F.size("spans") > 0).select("__key", "spans").dropDuplicates(["__key"])
+    found = Workspace(spark, "spans").save(found.withColumnRenamed("spans", "__spans"))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
+    text = redacted(F.col("text"), F.coalesce("__spans", none))
+    out = keyed.join(found, "__key", "left").withColumn("text", text)
+    return out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the hash of the decoded text of each row."""
+    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), WORD_BPE), WORD_BPE)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
+    ("quality", quality_stage),
     ("minhash_dedup", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("bpe", bpe_stage),
 ]
 
 #: SQL cannot express the stages; tests hold them against brute force.

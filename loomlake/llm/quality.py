@@ -236,3 +236,15 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     out = src.mapInArrow(_scores(model), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", column: str = "__score") -> DataFrame:
+    """All rows and columns of ``docs`` and the score of each row's text as ``column``; no exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array([features(t.as_py()) for t in batch.column(text_col)]).reshape(-1, len(NAMES))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, column])
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{column}` double"
+    return docs.mapInArrow(run, schema)
