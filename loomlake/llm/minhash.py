@@ -18,7 +18,7 @@ from .words import mix, shingle_set
 PERMUTATIONS, ROWS = 80, 4
 SEED = 20_240_501
 #: Members of one comparison block, and shingles in it.
-BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Ids that may be broadcast at once (16 MB); beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
