@@ -1 +1 @@
-"""Functions of the graph engine."""
+"""Column expressions on scalars and vectors (array<double>), all evaluated by Spark."""

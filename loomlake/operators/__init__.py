@@ -1 +1 @@
-"""Operators of the graph engine."""
+"""Graph operators on DataFrames: edges (src, dst, dup), nodes (id), features (id, x)."""

@@ -1 +1 @@
-"""Sources of the graph engine."""
+"""Edge and feature tables from Parquet files, and sinks for them."""
