@@ -53,7 +53,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys in order, rules before urls: the stack holds the rules that are prefixes of the current key."""
     at, stack = None, []
     for batch in batches:
-        host, path, rule, verdict, size = [], [], [], [], []
+        host, path, rule, verdict, size, labels = [], [], [], [], [], []
         names = ("pid", "key", "rule", "verdict", "host", "path")
         for p, k, r, v, h, q in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
             if p != at:
@@ -63,11 +63,11 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if r is not None:
                 stack.append((k, r, v))
             elif stack:
-                host.append(h), path.append(q), rule.append(stack[-1][1]), verdict.append(stack[-1][2]), size.append(len(stack[-1][0]))
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+                host.append(h), path.append(q), rule.append(stack[-1][1]), verdict.append(stack[-1][2]), size.append(len(stack[-1][0])), labels.append(stack[-1][0].index("\0"))
+        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(x, k) for x, k in zip((host, path, rule, verdict, size), kinds, strict=True)],
-            ["host", "path", "rule", "verdict", "size"],
+            [pa.array(x, k) for x, k in zip((host, path, rule, verdict, size, labels), kinds, strict=True)],
+            ["host", "path", "rule", "verdict", "size", "labels"],
         )
 
 
@@ -113,8 +113,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     schema = "pid int, key string, rule string, verdict string, host string, path string"
     dealt = urls.unionByName(law).mapInArrow(_ranges(bounds), schema)
     swept = dealt.repartition("pid").sortWithinPartitions("pid", "key", F.col("rule").isNull())
-    hits = swept.mapInArrow(_sweep, "host string, path string, rule string, verdict string, size int")
-    order = F.struct("size", F.length("rule").alias("n"), "rule", "verdict")
+    hits = swept.mapInArrow(_sweep, "host string, path string, rule string, verdict string, size int, labels int")
+    order = F.struct("size", "labels", "rule", "verdict")
     best = hits.groupBy("host", "path").agg(F.max(order).alias("best"))
     out = src.join(best, ["host", "path"], "left")
     return out.select(
