@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from collections.abc import Iterator
-from itertools import chain, filterfalse
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,11 @@ from .common import groups
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 SPACE = " \n\t\r"
 PLAIN = re.compile(f"[ -~{SPACE}{LETTERS}]*")
-UNEVEN = re.compile(r" [ \n\t\r]|[\n\t\r] |\A |[ ]\Z")
+#: White space in which a space meets another; elsewhere one space belongs to the word behind it.
+UNEVEN = ["  ", " \n", " \t", " \r", "\n ", "\t ", "\r "]
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Cache entries a worker holds at most; texts longer than LONG characters are encoded as trees of halves.
-CACHE, LONG = 500_000, 16_384
+CACHE, LONG = 250_000, 16_384
 #: A unit that begins this far before a cut, or nearer, may read past it.
 REACH = 4
 
@@ -58,6 +60,19 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
+class _Words(dict):
+    """Ids by word, made when first looked up."""
+
+    def __init__(self, make, before: str):
+        super().__init__()
+        self.make, self.before = make, before
+
+    def __missing__(self, word: str) -> bytes:
+        got = self.make(self.before + word)
+        self[word] = got
+        return got
+
+
 class Encoder:
     """``ids(text)`` equals the library's ``encode(text, add_special_tokens=False).ids`` as little-endian uint32."""
 
@@ -80,15 +95,16 @@ class Encoder:
         self.marks = re.compile("|".join(map(re.escape, found))) if found else None
         self.table = dict(enumerate(byte_alphabet()))
         self.pieces: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
+        self.later = _Words(self.word, " " if self.spaced else "")
 
     # -- pieces ------------------------------------------------------------------------------------
     def mapped(self, piece: str) -> str:
+        if piece.isascii() and piece.isprintable():  # only the space changes
+            return piece.replace(" ", self.table[32])
         return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
 
     def model(self, mapped: str) -> bytes:
-        return np.array([t.id for t in self.tok.model.tokenize(mapped)], "<u4").tobytes()
+        return array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -113,6 +129,23 @@ class Encoder:
             return b"".join(map(self.piece, self.units(text)))
         return b"".join(map(self.model, self.units(text)))
 
+    def word(self, text: str) -> bytes:
+        """Ids of a plain word (with the space before it); one of a single piece needs no entry of its own."""
+        if self.worded:
+            text = text.lower()
+        bare = text[1:] if text[:1] == " " else text
+        if bare.isalpha():  # letters are one piece, and a stop or comma behind them another
+            return self.pieces.get(text) or self.model(self.mapped(text))
+        if bare[-1:] in (",", ".") and bare[:-1].isalpha():
+            return self.piece(text[:-1]) + self.piece(text[-1])
+        return b"".join(map(self.piece, self.pattern.findall(text)))
+
+    def plain_words(self, t: str) -> bool:
+        """Whether white space splits the text into words that are encoded on their own."""
+        if not self.pattern or any(m in t for m in self.special) or not PLAIN.fullmatch(t):
+            return False
+        return self.worded or not (t[:1] == " " or t[-1:] == " " or any(u in t for u in UNEVEN))
+
     # -- whole texts -------------------------------------------------------------------------------
     def direct(self, text: str) -> bytes:
         if not self.marks or not self.marks.search(text):
@@ -127,31 +160,20 @@ class Encoder:
         """Plain texts are split at white space, where no pre-token can cross, and looked up whole words at a time."""
         split: list[list[str] | None] = []
         for t in texts:
-            if self.pattern and PLAIN.fullmatch(t) and not (self.marks and self.marks.search(t)) and (self.worded or not UNEVEN.search(t)):
+            if self.plain_words(t):
                 split.append(t.split() if self.worded else t.split(" "))
             else:
                 split.append(None)
-        if self.spaced:
-            for w in {s[0] for s in split if s}.difference(self.first):
-                if len(self.first) >= CACHE:
-                    break
-                self.first[w] = self.segment(w)
-        skip = 1 if self.spaced else 0
-        for w in set(filterfalse(self.later.__contains__, chain.from_iterable(s[skip:] for s in split if s))):
-            self.later[w] = self.segment(" " + w if self.spaced else w)
-        out = []
+        out, look = [], self.later.__getitem__
         for t, s in zip(texts, split, strict=True):
             if s is None:
                 out.append(self.direct(t))
             elif self.spaced:
-                head = self.first.get(s[0])
-                out.append((self.segment(s[0]) if head is None else head) + b"".join(map(self.later.__getitem__, s[1:])))
+                out.append(self.word(s[0]) + b"".join(map(look, s[1:])))
             else:
-                out.append(b"".join(map(self.later.__getitem__, s)))
+                out.append(b"".join(map(look, s)))
         if len(self.later) >= CACHE:
             self.later.clear()
-        if len(self.first) >= CACHE:
-            self.first.clear()
         return out
 
 
@@ -405,9 +427,11 @@ def _texts(path: str):
                 names[i] = t
         for batch in batches:
             k = batch.schema.get_field_index("ids")
-            lists = batch.column(k).to_pylist()
-            text = [None if x is None else " ".join(map(names.__getitem__, x)) if names is not None else tok.decode(x, skip_special_tokens=False) for x in lists]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*batch.schema.names, "decoded"])
+            for i in range(0, batch.num_rows, 128):  # few lists of Python integers at once
+                part = batch.slice(i, 128)
+                lists = part.column(k).to_pylist()
+                text = [None if x is None else " ".join(map(names.__getitem__, x)) if names is not None else tok.decode(x, skip_special_tokens=False) for x in lists]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, "decoded"])
 
     return run
 
