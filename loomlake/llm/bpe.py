@@ -27,8 +27,8 @@ PLAIN = re.compile(f"[ -~{SPACE}{LETTERS}]*")
 #: White space in which a space meets another; elsewhere one space belongs to the word behind it.
 UNEVEN = ["  ", " \n", " \t", " \r", "\n ", "\t ", "\r "]
 GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Cache entries a worker holds at most; texts longer than LONG characters are encoded as trees of halves.
-CACHE, LONG = 250_000, 16_384
+#: Words in a generation of a worker's cache; texts longer than LONG characters are encoded as trees of halves.
+CACHE, LONG = 200_000, 16_384
 #: A unit that begins this far before a cut, or nearer, may read past it.
 REACH = 4
 
@@ -61,17 +61,25 @@ def byte_alphabet() -> list[str]:
 
 
 class _Words(dict):
-    """Ids by word, made when first looked up."""
+    """Ids by word, made when first looked up. ``turn`` starts a new generation: words that come up again move
+    into it from the last one, so the frequent ones stay and the number held is bounded."""
 
     def __init__(self, make, before: str):
         super().__init__()
-        self.make, self.before = make, before
+        self.make, self.before, self.last = make, before, {}
 
     def __missing__(self, word: str) -> bytes:
-        got = self.make(self.before + word)
+        got = self.last.get(word)
+        if got is None:
+            got = self.make(self.before + word)
         self[word] = got
         return got
 
+    def turn(self, most: int) -> None:
+        if len(self) >= most:
+            self.last = dict(self)
+            self.clear()
+
 
 class Encoder:
     """``ids(text)`` equals the library's ``encode(text, add_special_tokens=False).ids`` as little-endian uint32."""
@@ -172,8 +180,7 @@ class Encoder:
                 out.append(self.word(s[0]) + b"".join(map(look, s[1:])))
             else:
                 out.append(b"".join(map(look, s)))
-        if len(self.later) >= CACHE:
-            self.later.clear()
+        self.later.turn(CACHE)
         return out
 
 
