@@ -36,7 +36,47 @@ select v.vec_id, coalesce(deg.n, 0)::bigint as n_links, comp.component_id, v.vec
 from v left join deg using (vec_id) join comp using (vec_id)
 """
 
+_WORDS = r"""
+w as (
+  select doc_id, coalesce(list_filter(regexp_split_to_array(%s, '[\x20\x09-\x0D]+'), lambda x: x <> ''), []) as ws from documents
+)
+"""
+
+OP2 = f"""
+with recursive {_WORDS % "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"}, s as (
+  select doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')))) as g
+  from w where len(ws) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * i >= 75 * (x.n + y.n - i)
+), reach(a, b) as (
+  select doc_id, doc_id from documents union select reach.a, link.b from reach join link on link.a = reach.b
+), comp as (select a as doc_id, min(b) as component_id from reach group by a)
+select comp.doc_id, coalesce(n.n, 0)::bigint as n_shingles, component_id, comp.doc_id = component_id as kept from comp left join n using (doc_id)
+"""
+
+OP3 = f"""
+with {_WORDS % "text"}, win as (
+  select doc_id, p, array_to_string(list_slice(ws, p, p + 12), ' ') as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as p from w where len(ws) >= 13)
+), f as (
+  select g, min(doc_id) as m from win group by g
+), cov as (
+  select distinct doc_id, p + d as q from win join f using (g), range(13) r(d) where doc_id > m
+), t as (
+  select doc_id, unnest(ws) as word, unnest(range(1, len(ws) + 1)) as q from w
+), k as (
+  select t.doc_id, string_agg(word, ' ' order by t.q) as kept from t anti join cov on cov.doc_id = t.doc_id and cov.q = t.q group by t.doc_id
+), gone as (select doc_id, count(*) as n from cov group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(gone.n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join k using (doc_id) left join gone using (doc_id)
+"""
+
 ORACLE = {
     "op1_embedding_dedup": OP1,
+    "op2_minhash_dedup": OP2,
+    "op3_substring_dedup": OP3,
     "op9_url_filter": OP9,
 }
