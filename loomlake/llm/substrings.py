@@ -73,23 +73,23 @@ def _nodes(window: int, ways: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [np.frombuffer(s, np.uint64) for s in batch.column("span").to_pylist()]
-            nodes = [rolling(s, window - 1) for s in spans]
-            count = [len(n) for n in nodes]
-            flat = pa.array((np.concatenate(nodes) if nodes else np.empty(0, np.uint64)).view(np.int64))
+            spans = batch.column("span").to_pylist()
+            words = np.array([len(s) // 8 for s in spans], np.int64)
+            flat = np.frombuffer(b"".join(spans), np.uint64)
+            count = words - window + 2
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(np.cumsum(words) - words, count) + place
+            node = pa.array(rolling(flat, window - 1)[at].view(np.int64))
             if ways:
-                both = []
-                for s, n in zip(spans, nodes, strict=True):
-                    before, after = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
-                    before[1:], after[:-1] = s[: len(n) - 1], s[window - 1 :]
-                    both.append(mix(mix(before + _IN) ^ (after + _OUT)))
-                way = (np.concatenate(both) if both else np.empty(0, np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([flat, pa.array(way)], ["node", "way"])
+                before = np.where(place == 0, np.uint64(0), flat[at - 1])
+                last = place == np.repeat(count, count) - 1
+                after = np.where(last, np.uint64(0), flat[np.where(last, 0, at + window - 1)])
+                way = mix(mix(before + _IN) ^ (after + _OUT))
+                yield pa.RecordBatch.from_arrays([node, pa.array(way.view(np.int64))], ["node", "way"])
             else:
-                starts = np.asarray(batch.column("start").to_numpy(zero_copy_only=False))
-                pos = np.concatenate([np.arange(a, a + c) for a, c in zip(starts, count, strict=True)] or [np.empty(0)])
-                rep = lambda n, kind: pa.array(np.repeat(batch.column(n).to_numpy(zero_copy_only=False), count), kind)
-                yield pa.RecordBatch.from_arrays([flat, rep("id", pa.int64()), rep("k", pa.int64()), pa.array(pos.astype(np.int32))], ["node", "id", "k", "pos"])
+                rep = lambda n: np.repeat(batch.column(n).to_numpy(zero_copy_only=False), count)
+                pos = (rep("start") + place).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([node, pa.array(rep("id"), pa.int64()), pa.array(rep("k"), pa.int64()), pa.array(pos)], ["node", "id", "k", "pos"])
 
     return run
 
@@ -158,11 +158,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work.drop(wanted)
     nodes = runs.select("span").mapInArrow(_nodes(window, True), "node long, way long")
     marked = nodes.groupBy("node").agg(F.min("way").alias("lo"), F.max("way").alias("hi")).where("lo < hi").select("node")
+    marked = work.save(marked)
     places = runs.mapInArrow(_nodes(window, False), "node long, id long, k long, pos int")
     cuts = places.join(marked, "node", "left_semi").groupBy("id", "k").agg(F.collect_set("pos").alias("cuts"))
     paths = runs.join(cuts, ["id", "k"], "left").select("id", "k", "start", "span", "cuts")
     paths = work.save(paths.mapInArrow(_paths(window), "id long, k long, start int, size int, path binary"))
-    work.drop(runs)
+    work.drop(runs, marked)
     first = paths.groupBy("path").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     gone = paths.join(first, "path").where("id > first").groupBy("id", "k").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     gone = work.save(gone)
