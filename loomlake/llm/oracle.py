@@ -1,5 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
+from .licenses import BASE, NEAR, SHARE, TEMPLATES
+
 OP9 = r"""
 with p as (
   select page_id, case when url is not null and strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
@@ -74,9 +76,41 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(gone.n, 0)::bigint as n_re
 from w left join k using (doc_id) left join gone using (doc_id)
 """
 
+_PHRASES = ", ".join(f"({n}, {n < len(BASE)}, '{label}', '{phrase}')" for n, (phrase, label) in enumerate(BASE + TEMPLATES))
+
+OP7 = rf"""
+with w as (
+  select doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) as ws from documents
+), phrase(template, base, label, p) as (
+  values {_PHRASES}
+), t as (
+  select template, base, label, len(string_split(p, ' ')) as size, o, string_split(p, ' ')[o + 1] as a, string_split(p, ' ')[o + 2] as b
+  from (select *, unnest(range(len(string_split(p, ' ')) - 1)) as o from phrase)
+), g as (
+  select doc_id, i as pos, ws[i + 1] as a, ws[i + 2] as b from (select doc_id, ws, unnest(range(len(ws) - 1)) as i from w where len(ws) > 1)
+), line as (
+  select doc_id, template, base, label, size, pos - o as d, list(distinct o) as o from g join t using (a, b) group by all
+), cut as (
+  select *, case when base or d - lag(d) over q <= {NEAR} is not true then 1 else case when base then 1 else 0 end end as fresh from line window q as (partition by doc_id, template order by d)
+), copy as (
+  select *, sum(fresh) over (partition by doc_id, template order by d) as c from cut
+), span as (
+  select doc_id, template, base, label, size, c, min(d) as first, len(list_distinct(flatten(list(list_concat(o, list_transform(o, lambda x: x + 1)))))) / size as share
+  from copy group by doc_id, template, base, label, size, c
+), found as (
+  select doc_id, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word,
+    array_to_string(list_sort(list(distinct label) filter (base)), ',') as base_labels, array_to_string(list_sort(list(distinct label)), ',') as labels, max(share) as score
+  from span where (base and share = 1) or (not base and share >= {SHARE}) group by doc_id
+)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from w left join found using (doc_id)
+"""
+
 ORACLE = {
     "op1_embedding_dedup": OP1,
     "op2_minhash_dedup": OP2,
     "op3_substring_dedup": OP3,
+    "op7_licenses": OP7,
     "op9_url_filter": OP9,
 }

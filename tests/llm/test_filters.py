@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import make_docs
+from made import make_docs
 
 from loomlake.llm import quality
 from loomlake.llm.contamination import align, contaminated, plain_words

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import make_docs
+from made import make_docs
 
 from loomlake.llm import minhash
 from loomlake.llm.embeddings import near_vectors

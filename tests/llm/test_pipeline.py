@@ -2,7 +2,7 @@ import re
 from hashlib import sha256
 
 import corpus_pipeline as c
-from conftest import make_docs
+from made import make_docs
 from tokenizers import Tokenizer
 
 from loomlake.llm import quality

@@ -4,7 +4,7 @@ import zlib
 from hashlib import sha256
 
 import pytest
-from conftest import make_docs
+from made import make_docs
 from tokenizers import Tokenizer
 
 from loomlake.llm import bpe, store
