@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import groups
+from .common import bounded_batches, groups
 
 #: Characters on which Python's and the library's classes agree: ASCII text and letters up to U+017F.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
@@ -90,6 +90,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.spec = spec
+        self.tokenize = self.tok.model.tokenize
         pre = spec.get("pre_tokenizer") or {}
         self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
         parts = pre.get("pretokenizers") or []
@@ -112,7 +113,7 @@ class Encoder:
         return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
 
     def model(self, mapped: str) -> bytes:
-        return array("I", [t.id for t in self.tok.model.tokenize(mapped)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
 
     def piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
@@ -406,6 +407,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     Null and empty texts have no ids. Repeated and null ids are kept as rows of their own; other columns are
     ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     enc = Encoder(path)
     if not enc.worded:

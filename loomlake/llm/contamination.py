@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .words import hash_words, rolling
 
 GRAM = 3
@@ -129,6 +130,7 @@ def contaminated(
     ids are returned for each row that is contaminated. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("t")).dropna()
     items = items.groupBy("item").agg(F.max(F.struct(F.length("t").alias("n"), "t"))["t"].alias("t"))

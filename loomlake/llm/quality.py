@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Labelled rows the model is fitted on at most: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
 #: Bins of a feature, rounds over all terms, shrinkage, pairs and their bins on either side.
@@ -212,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows of null id or label are left out; repeated and contradicting labels all count. Only the text enters.
     """
+    bounded_batches(docs.sparkSession)
     fold = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna()
     fold = fold.where(~held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id", "y").limit(rows)
     taken = fold.collect()
@@ -233,6 +236,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
     Null and empty texts are scored as texts of no characters. Repeated and null ids are returned as rows of
     their own; other columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     out = src.mapInArrow(_scores(model), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -246,5 +250,6 @@ def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", co
             x = np.array([features(t.as_py()) for t in batch.column(text_col)]).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(x))], [*batch.schema.names, column])
 
+    bounded_batches(docs.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{column}` double"
     return docs.mapInArrow(run, schema)

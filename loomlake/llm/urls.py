@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys drawn for each range boundary, as a range partitioner draws them.
 DRAWN = 60
@@ -89,6 +91,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     returned as they are. Other columns of either table are ignored. Empty tables are allowed.
     """
     spark = pages.sparkSession
+    bounded_batches(spark)
     host, path = host_path(F.col(url_col))
     src = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     law = rules.select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").dropna()
