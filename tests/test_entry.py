@@ -29,4 +29,4 @@ def test_queries_against_sql(spark, name):
     rel = con.sql(e.oracle_sql()[name])
     assert sorted(rel.columns) == cols
     assert got == sorted(map(repr, rel.project(", ".join(cols)).fetchall()))
-    assert got
+    assert got or name == "missing_feature_ids"  # none are missing at this size
