@@ -11,10 +11,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from hashlib import sha256
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +63,7 @@ def _chunks(path: str, end_id: int, width: str):
     """One recipe row a document (kind 1), and each chunk body once a worker (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent = Encoder(path), set()
+        enc, sent, row, task = Encoder(path), set(), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -84,7 +84,8 @@ def _chunks(path: str, end_id: int, width: str):
                             sent.add(name)
                             kind.append(0), key.append(name), ids.append(None), ns.append(None), bodies.append(body)
                     recipe = b"".join(recipe)
-                    name = digest((-1 if doc is None else doc).to_bytes(8, "little", signed=True) + recipe)
+                    name = digest(f"{task}:{row}".encode())  # a key of its own for each row of the input
+                    row += 1
                     kind.append(1), key.append(name), ids.append(doc), ns.append(len(tokens)), bodies.append(recipe)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(kind, pa.int32()), pa.array(key, pa.binary()), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(bodies, pa.binary())],
@@ -94,17 +95,6 @@ def _chunks(path: str, end_id: int, width: str):
     return run
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted rows, each chunk's first; all recipes."""
-    last = None
-    for batch in batches:
-        keep = []
-        for k, name in zip(batch.column("kind").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            keep.append(k == 1 or name != last)
-            last = name if k == 0 else None
-        yield batch.filter(pa.array(keep, pa.bool_()))
-
-
 class Merkle:
     """Root over leaves as they come: a full subtree of each size waits for its twin, so memory is logarithmic."""
 
@@ -217,8 +207,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     rows = src.mapInArrow(_chunks(path, end_id, width), "kind int, key binary, id long, n long, body binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "key").sortWithinPartitions("key", "kind")
-    rows = rows.mapInArrow(_once, "kind int, key binary, id long, n long, body binary")
+    rows = rows.repartition(parts, "key").dropDuplicates(["key"])
     packs = f"packs_{uuid.uuid4().hex}"
     with work._freed():
         rows.write.bucketBy(parts, "key").sortBy("key").option("path", work.folder("packs")).option("compression", "zstd").format("parquet").saveAsTable(packs)
@@ -269,13 +258,6 @@ def verify(store: TokenStore) -> bool:
     return whole.root() == store.root
 
 
-def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sums = [crc32(x) for x in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "start", "n_tokens")), pa.array(sums, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
-
-
 def checksums(store: TokenStore, id_col: str = "doc_id") -> DataFrame:
     """id, start, n_tokens, ids_crc32 of each document, from the files."""
-    out = store.read().mapInArrow(_checksums, "id long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumnRenamed("id", id_col)
+    return store.read().select(F.col("id").alias(id_col), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
