@@ -67,3 +67,9 @@ def inverse_degree(degree: Column, power: float = 1.0) -> Column:
 def binned(x: Column) -> Column:
     """Steps of 1e-6 whose edges lie off the decimal grid, so engines that sum in another order agree."""
     return F.floor(x * F.lit(1e6) + F.lit(0.3183098861837907)).cast("double") / F.lit(1e6) + F.lit(0.0)
+
+
+def padded(vector: Column, width: int) -> Column:
+    """The vector filled up with zeros to ``width``, and its own length behind."""
+    short = F.greatest(F.lit(width) - F.size(vector), F.lit(0))
+    return F.concat(vector, F.array_repeat(F.lit(0.0), short), F.array(F.size(vector).cast("double")))

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot, inverse_degree, leaky_relu, literal, plus, product, scaled, zeros
+from ..functions.vectors import dot, inverse_degree, leaky_relu, literal, plus, product, relu, scaled, zeros
 
 Matrix = Sequence[Sequence[float]]
 
@@ -191,3 +191,17 @@ def sage_mean(
     if activation:
         x = F.transform(x, activation)
     return mean.join(own, "id", "left").select("id", x.alias("x"))
+
+
+def sage_pool(
+    edges: DataFrame, features: DataFrame, nodes: DataFrame, pool_weights: Matrix, pool_bias: Sequence[float], self_weights: Matrix, weights: Matrix
+) -> DataFrame:
+    """x_self W_self + max over neighbours of relu(x W_pool + b_pool) W; the largest is taken by component, and a
+    node without in-edges pools zeros."""
+    width = len(pool_weights[0])
+    pooled = linear(features, pool_weights, pool_bias).select(F.col("id").alias("src"), F.transform("x", lambda v: relu(v)).alias("x"))
+    most = edges.join(pooled, "src").groupBy("dst").agg(*(F.max(F.col("x")[i]).alias(f"__{i}") for i in range(width)))
+    out = nodes.select("id").join(most.withColumnRenamed("dst", "id"), "id", "left").select("id", gathered(width).alias("x"))
+    own = linear(features, self_weights).withColumnRenamed("x", "__own")
+    x = plus(F.col("x"), F.coalesce("__own", zeros(len(weights[0]))))
+    return linear(out, weights).join(own, "id", "left").select("id", x.alias("x"))

@@ -93,3 +93,16 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     outs = edges.groupBy("src").agg(F.count("*").alias("out_degree")).withColumnRenamed("src", "id")
     out = nodes.select("id").join(ins, "id", "left").join(outs, "id", "left")
     return out.fillna(0, ["in_degree", "out_degree"])
+
+
+def count_targets(content: DataFrame, targets: DataFrame, column: str) -> DataFrame:
+    """(id, n): how often each target occurs in a column, 0 if never."""
+    n = content.groupBy(F.col(column).alias("id")).agg(F.count("*").alias("n"))
+    return targets.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def require_rows(df: DataFrame, what: str) -> DataFrame:
+    """``df``, or an error if it is empty."""
+    if df.isEmpty():
+        raise ValueError(f"there are no {what}")
+    return df

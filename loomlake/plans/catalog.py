@@ -197,6 +197,29 @@ def both_ways(spark, d):
     return e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
 
 
+@query(with_ctes(["nodes", "edges2"], "select id, count(src) as n from nodes left join edges2 on src = id group by id"))
+def count_targets(spark, d):
+    """How often each node is a source, 0 included."""
+    return P.count_targets(G.supply2_edges(spark, d), G.supply_nodes(spark, d), "src")
+
+
+@query(with_ctes(["nodes", "edges2"], "select (select count(*) from nodes) as nodes, (select min(id) from nodes) as first_id, (select count(*) from edges2) as edges"))
+def graph_totals(spark, d):
+    n = G.supply_nodes(spark, d).agg(F.count("*").alias("nodes"), F.min("id").alias("first_id"))
+    return n.join(F.broadcast(G.supply2_edges(spark, d).agg(F.count("*").alias("edges"))))  # one row each
+
+
+@query(
+    "select l_orderkey as id, unnest(range(8)) as k, coalesce(l[unnest(range(8)) + 1], case when unnest(range(8)) = 7 then len(l)::double else 0 end) as v "
+    "from (select l_orderkey, list(l_quantity order by l_quantity)[1:7] as l from lineitem group by l_orderkey)"
+)
+def pad_vectors(spark, d):
+    """Ragged lists (the seven smallest quantities of an order) filled up to one width, their length behind."""
+    ranked = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.expr("row_number() over (partition by l_orderkey order by l_quantity)").alias("r"))
+    lists = ranked.where("r <= 7").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("x"))
+    return lists.select(F.col("l_orderkey").alias("id"), F.posexplode(V.padded(F.col("x"), 7)).alias("k", "v"))
+
+
 # -- features -------------------------------------------------------------------------------------------
 
 _OWN = with_ctes(["feats", "placed"], f"select id, k::int as k, {binned_sql('v')} as v from feats where id in (select id from inner_)", [_INNER])
@@ -499,6 +522,19 @@ def sage_2layer_sampled(spark, d):
     return long(SAGE(layers, FANOUT).infer(supply2(spark, d)), "id")
 
 
+@query(
+    final_sql(
+        "select m.id, m.k, m.v + coalesce(o.v, 0) as v from m left join o on o.id = m.id and o.k = m.k", ["edges2", "feats", "nodes"],
+        [f"p as (select id, k, greatest(v, 0.0) as v from ({matmul_sql('feats', '4', 4, 3, bias=True)}))",
+         f"a as ({spmm_sql('edges2', 'max(f.v)', feats='p')})", f"m as ({matmul_sql('a', '4', 2)})", f"o as ({matmul_sql('feats', '4', 2, 10)})"],
+    )
+)
+def sage_pool(spark, d):
+    """Mean aggregation's sibling: the largest projected neighbour by component."""
+    e, f, n = written(G.supply2_edges(spark, d)), G.supply_features(spark, d), G.supply_nodes(spark, d)
+    return long(L.sage_pool(e, f, n, G.weights(WIDTH, WIDTH, 3), G.bias(WIDTH, 3), G.weights(WIDTH, 2, 10), G.weights(WIDTH, 2)), "id")
+
+
 # -- schedules ------------------------------------------------------------------------------------------
 
 BATCH = 1000

@@ -44,3 +44,14 @@ def test_streaming_degrees(spark, tmp_path):
     q.stop()
     got = {r.id: (r.in_degree, r.out_degree) for r in spark.table("deg").collect()}
     assert got == {1: (0, 2), 2: (3, 1), 3: (1, 1)}
+
+
+def test_timings(spark):
+    from loomlake.plans.timing import Timings
+
+    t = Timings(model="gcn")
+    with t("scan"):
+        pass
+    with t("layer 0"):
+        pass
+    assert [(r.position, r.stage, r.model) for r in t.table(spark).orderBy("position").collect()] == [(0, "scan", "gcn"), (1, "layer 0", "gcn")]
