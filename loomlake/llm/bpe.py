@@ -84,7 +84,8 @@ class _Words(dict):
 class Encoder:
     """``ids(text)`` equals the library's ``encode(text, add_special_tokens=False).ids`` as little-endian uint32."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.cache = cache
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation(), self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
@@ -120,7 +121,7 @@ class Encoder:
         if got is None:
             got = self.model(self.mapped(piece))
             if len(piece) <= 64:
-                if len(self.pieces) >= CACHE:
+                if len(self.pieces) >= self.cache:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
@@ -181,7 +182,7 @@ class Encoder:
                 out.append(self.word(s[0]) + b"".join(map(look, s[1:])))
             else:
                 out.append(b"".join(map(look, s)))
-        self.later.turn(CACHE)
+        self.later.turn(self.cache)
         return out
 
 

@@ -27,6 +27,8 @@ MASK, MIN, MAX = np.uint64(1023), 128, 8192
 #: Digests a worker remembers, whose bodies it need not send again.
 SENT = 200_000
 DIGEST = 16
+#: Words in a generation of the encoder's cache: a task runs one worker here, so it may hold more of them.
+CACHE = 600_000
 #: The mixed values of small ids, ready made.
 _GEAR = mix(np.arange(1, 65_537, dtype=np.uint64))
 
@@ -63,7 +65,7 @@ def _chunks(path: str, end_id: int, width: str):
     """One recipe row a document (kind 1), and each chunk body once a worker (kind 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, sent, row, task = Encoder(path), set(), 0, TaskContext.get().partitionId()
+        enc, sent, row, task = Encoder(path, CACHE), set(), 0, TaskContext.get().partitionId()
         tail = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
