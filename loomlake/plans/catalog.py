@@ -214,10 +214,10 @@ def graph_totals(spark, d):
     "from (select l_orderkey, list(l_quantity order by l_quantity)[1:7] as l from lineitem group by l_orderkey)"
 )
 def pad_vectors(spark, d):
-    """Ragged lists (the seven smallest quantities of an order) filled up to one width, their length behind."""
-    ranked = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.expr("row_number() over (partition by l_orderkey order by l_quantity)").alias("r"))
-    lists = ranked.where("r <= 7").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("x"))
-    return lists.select(F.col("l_orderkey").alias("id"), F.posexplode(V.padded(F.col("x"), 7)).alias("k", "v"))
+    """Ragged lists (the sorted quantities of an order) filled up to the longest one's width, their length behind."""
+    lists = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("x"))
+    width = lists.agg(F.max(F.size("x"))).first()[0] or 0
+    return lists.select(F.col("l_orderkey").alias("id"), F.posexplode(V.padded(F.col("x"), width)).alias("k", "v"))
 
 
 # -- features -------------------------------------------------------------------------------------------
