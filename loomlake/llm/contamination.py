@@ -86,6 +86,7 @@ def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.nd
                 span = hi[pos] - lo[pos]
                 k = np.repeat(lo[pos], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
                 diag, own = np.repeat(pos, span) - offset[k], owner[k]
+                best: dict[int, tuple] = {}
                 for n in np.unique(own):
                     item = hashed[n]
                     slack, top = len(item) // 2 + 2, (0.0, 0, 0)
@@ -96,8 +97,10 @@ def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.nd
                         if score > top[0]:
                             back = align(item[::-1], part[: end + 1][::-1])[1]
                             top = (score, start + end - back, start + end)
-                    if top[0] >= threshold * MATCH * len(item):
-                        out.append((i, items[n][0], top[0] / (MATCH * len(item)), top[1], top[2]))
+                    share = top[0] / (MATCH * len(item))
+                    if share >= threshold and share > best.get(items[n][0], (0.0,))[0]:
+                        best[items[n][0]] = (share, top[1], top[2])
+                out += [(i, item, *found) for item, found in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["id", "item", "score", "first_word", "last_word"])
@@ -126,20 +129,21 @@ def contaminated(
     every passage around a seed's diagonal is aligned, without any cap.
 
     Null or empty texts and items hold nothing; items of fewer than 3 words or of null id are left out.
-    Repeated items are aligned once an id, the longest text of an id holding. Repeated and null document
-    ids are returned for each row that is contaminated. Other columns are ignored.
+    Each distinct text of an item id is aligned; a document's best score counts for the id. All texts of an
+    id lie in one block. Repeated and null document ids are returned for each row that is contaminated. Other
+    columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     src = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("t")).dropna()
-    items = items.groupBy("item").agg(F.max(F.struct(F.length("t").alias("n"), "t"))["t"].alias("t"))
+    items = items.distinct()
     size = items.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
     blocks = -(-size // BLOCK_WORDS)
     schema = "id long, item long, score double, first_word long, last_word long"
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
-        part = items.where(F.expr(f"pmod(xxhash64(item), {blocks}) = {b}")).orderBy("item").collect()
+        part = items.where(F.expr(f"pmod(xxhash64(item), {blocks}) = {b}")).orderBy("item", "t").collect()
         held = [(r["item"], w) for r in part if len(w := plain_words(r["t"])) >= GRAM]
         if not held:
             continue

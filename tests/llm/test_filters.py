@@ -139,3 +139,14 @@ def test_quality_on_the_tables(spark, sf):
     label = {r.doc_id: r.quality for r in table(spark, d, "labels").collect()}
     held = [r for r in op5_quality(spark, d).collect() if r.held_out and label.get(r.doc_id) is not None]
     assert sum(r.predicted == label[r.doc_id] for r in held) >= 0.8 * len(held)
+
+
+def test_each_text_of_an_item_id_is_searched(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    long, short, other = (" ".join(word() for _ in range(n)) for n in (40, 15, 15))
+    near = " ".join(long.split()[:25])
+    rows = [(1, "so " + short + " it is"), (2, "so " + long + " it is"), (3, other), (4, "nothing here at all"), (5, near + " and " + short)]
+    bench = spark.createDataFrame([(0, long, None), (0, short, None), (0, short, None), (1, other, None)], ITEMS)
+    got = {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in contaminated(make_docs(spark, rows), bench).collect()}
+    assert got == {(1, 0, 1.0, 1, 15), (2, 0, 1.0, 1, 40), (3, 1, 1.0, 0, 14), (5, 0, 1.0, 26, 40)}
