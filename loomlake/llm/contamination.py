@@ -1,7 +1,8 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 6)."""
+"""Benchmark decontamination by rare-word seeds and Smith-Waterman alignment (operator 6)."""
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -11,13 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches
-from .words import hash_words, rolling
+from .words import hash_words
 
-GRAM = 3
+#: Shorter items are copied only as a whole.
+LEAST = 3
 #: Words of benchmark items that one broadcast block may hold (about 100 MB with its seeds).
 BLOCK_WORDS = 1_000_000
-#: A gram is a seed unless it is this many times as frequent as its item's median gram.
-RARE = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's perfect score from which a passage is a copy of it.
 THRESHOLD = 0.5
@@ -46,59 +46,85 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def passages(diagonals: np.ndarray, size: int) -> list[tuple[int, int]]:
-    """Groups of hit diagonals no further apart than an item's length, as (first, last)."""
-    d = np.unique(diagonals)
-    cut = np.flatnonzero(np.diff(d) > size) + 1
-    return [(int(g[0]), int(g[-1])) for g in np.split(d, cut)]
+def bounds(size: int, threshold: float) -> tuple[int, int, int]:
+    """(seeds, hits, span): an alignment at the threshold matches ``hits`` of any ``seeds`` words of its item.
+
+    With m of n words matched and i put in, 2 m - i >= 2 t n: so m >= t n, and the passage has at most
+    n + i <= n (3 - 2 t) words.
+    """
+    least = min(max(1, math.ceil(threshold * size - 1e-9)), size)
+    hits = max(1, least * 2 // 5)
+    return size - least + hits, hits, max(size, math.floor(size * (3 - 2 * threshold) + 1e-9))
+
+
+def limit(size: int, threshold: float) -> float:
+    return threshold if size >= LEAST else 1.0
+
+
+def passages(first: np.ndarray, last: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """Words (from, to) of all passages of ``span`` words around the hits first..last (ascending), merged where they meet."""
+    start, stop = np.maximum(last - span + 1, 0), first + span
+    cut = np.flatnonzero(start[1:] >= stop[:-1]) + 1
+    return [(int(a[0]), int(b[-1])) for a, b in zip(np.split(start, cut), np.split(stop, cut), strict=True)]
 
 
-def _frequencies(grams: np.ndarray):
-    """Documents that hold each gram of the block, summed over a batch."""
+def _frequencies(words: np.ndarray):
+    """Documents that hold each word of the block, summed over a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             count: Counter = Counter()
             for text in batch.column(0):
-                g = np.unique(rolling(hash_words(plain_words(text.as_py())), GRAM))
-                at = np.searchsorted(grams, g)
-                hit = at < len(grams)
-                count.update(at[hit][grams[at[hit]] == g[hit]].tolist())
+                g = np.unique(hash_words(plain_words(text.as_py())))
+                at = np.searchsorted(words, g)
+                hit = at < len(words)
+                count.update(at[hit][words[at[hit]] == g[hit]].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.int64()), pa.array(count.values(), pa.int64())], ["g", "n"])
 
     return run
 
 
-def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.ndarray, offset: np.ndarray, threshold: float):
-    """Seeds found in a document give passages around their diagonals; each is aligned with its item."""
+def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.ndarray, threshold: float):
+    """Passages that hold enough of an item's seeds are aligned with it."""
     hashed = [hash_words(w) for _, w in items]
+    shares = [limit(len(h), threshold) for h in hashed]
+    hits, spans = (np.array([bounds(len(h), t)[k] for h, t in zip(hashed, shares, strict=True)]) for k in (1, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = hash_words(plain_words(text.as_py()))
-                g = rolling(h, GRAM)
-                lo, hi = np.searchsorted(seeds, g, "left"), np.searchsorted(seeds, g, "right")
-                pos = np.flatnonzero(hi > lo)
-                if not len(pos):
+                lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
+                at = np.flatnonzero(hi > lo)
+                if not len(at):
                     continue
-                span = hi[pos] - lo[pos]
-                k = np.repeat(lo[pos], span) + np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span)
-                diag, own = np.repeat(pos, span) - offset[k], owner[k]
+                count = hi[at] - lo[at]
+                k = np.repeat(lo[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                pos, own = np.repeat(at, count), owner[k]
+                order = np.argsort(own, kind="stable")
+                pos, own = pos[order], own[order]
+                end = np.arange(len(own)) + hits[own] - 1
+                first = np.flatnonzero(end < len(own))
+                last = end[first]
+                close = (own[last] == own[first]) & (pos[last] - pos[first] < spans[own[first]])
+                first, last = first[close], last[close]
                 best: dict[int, tuple] = {}
-                for n in np.unique(own):
-                    item = hashed[n]
-                    slack, top = len(item) // 2 + 2, (0.0, 0, 0)
-                    for a, b in passages(diag[own == n], len(item)):
-                        start = max(0, a - slack)
-                        part = h[start : b + len(item) + slack]
-                        score, end = align(item, part)
+                whose = own[first]
+                cut = np.flatnonzero(np.diff(whose)) + 1
+                for a, b in zip(np.r_[0, cut], np.r_[cut, len(whose)], strict=True):
+                    if a == b:
+                        continue
+                    n = int(whose[a])
+                    item, top = hashed[n], (0.0, 0, 0)
+                    for start, stop in passages(pos[first[a:b]], pos[last[a:b]], int(spans[n])):
+                        part = h[start:stop]
+                        score, tail = align(item, part)
                         if score > top[0]:
-                            back = align(item[::-1], part[: end + 1][::-1])[1]
-                            top = (score, start + end - back, start + end)
+                            back = align(item[::-1], part[: tail + 1][::-1])[1]
+                            top = (score, start + tail - back, start + tail)
                     share = top[0] / (MATCH * len(item))
-                    if share >= threshold and share > best.get(items[n][0], (0.0,))[0]:
+                    if share >= shares[n] and share > best.get(items[n][0], (0.0,))[0]:
                         best[items[n][0]] = (share, top[1], top[2])
                 out += [(i, item, *found) for item, found in best.items()]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -123,12 +149,14 @@ def contaminated(
     itself, from ``threshold`` to 1; the words are those of the aligned passage. Words are runs of ASCII
     letters, digits and non-ASCII characters, A-Z lower-cased.
 
-    Seeds are 3-grams of an item that are rare for it: counted over all documents, at most 8 times as
-    frequent as the item's median gram, so an item that very many documents copy keeps its seeds. The
-    benchmark is worked through in blocks of a million words, each broadcast to one scan of the documents;
-    every passage around a seed's diagonal is aligned, without any cap.
+    No copy is missed: an alignment at the threshold matches at least half of an item's words (for 0.5), so it
+    matches some of any larger share of them. Seeds are the rarest such share, counted over all documents and
+    some larger, so that several of them must lie close together before a passage is aligned; passages are as
+    long as any alignment at the threshold can be. The benchmark is worked through in blocks of a million
+    words, each broadcast to one scan of the documents, without any cap.
 
-    Null or empty texts and items hold nothing; items of fewer than 3 words or of null id are left out.
+    Null or empty texts and items, items without words and items of null id hold nothing. Items of fewer than 3
+    words are found only whole (score 1).
     Each distinct text of an item id is aligned; a document's best score counts for the id. All texts of an
     id lie in one block. Repeated and null document ids are returned for each row that is contaminated. Other
     columns are ignored.
@@ -144,22 +172,22 @@ def contaminated(
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
         part = items.where(F.expr(f"pmod(xxhash64(item), {blocks}) = {b}")).orderBy("item", "t").collect()
-        held = [(r["item"], w) for r in part if len(w := plain_words(r["t"])) >= GRAM]
+        held = [(r["item"], w) for r in part if (w := plain_words(r["t"]))]
         if not held:
             continue
-        grams = [rolling(hash_words(w), GRAM) for _, w in held]
-        known = np.unique(np.concatenate(grams))
+        words = [hash_words(w) for _, w in held]
+        known = np.unique(np.concatenate(words))
         counted = src.select("t").mapInArrow(_frequencies(known), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
         freq = np.zeros(len(known), np.int64)
-        for r in counted.collect():  # a number for each gram of the block at most
+        for r in counted.collect():  # a number for each word of the block at most
             freq[r["g"]] = r["n"]
-        seeds, owner, offset = [], [], []
-        for n, g in enumerate(grams):
-            f = freq[np.searchsorted(known, g)]
-            rare = np.flatnonzero(f <= RARE * max(1.0, float(np.median(f))))
-            seeds.append(g[rare]), owner.append(np.full(len(rare), n)), offset.append(rare)
-        seed, own, off = map(np.concatenate, (seeds, owner, offset))
+        seeds, owner = [], []
+        for n, w in enumerate(words):
+            rare = np.argsort(freq[np.searchsorted(known, w)], kind="stable")[: bounds(len(w), limit(len(w), threshold))[0]]
+            rare = np.unique(w[rare])
+            seeds.append(rare), owner.append(np.full(len(rare), n))
+        seed, own = np.concatenate(seeds), np.concatenate(owner)
         order = np.argsort(seed, kind="stable")
-        found = src.mapInArrow(_score(held, seed[order], own[order], off[order], threshold), schema)
+        found = src.mapInArrow(_score(held, seed[order], own[order], threshold), schema)
         out = out.unionByName(found) if blocks > 1 else found
     return out.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "score", "first_word", "last_word")

@@ -150,3 +150,28 @@ def test_each_text_of_an_item_id_is_searched(spark):
     bench = spark.createDataFrame([(0, long, None), (0, short, None), (0, short, None), (1, other, None)], ITEMS)
     got = {(r.doc_id, r.item_id, r.score, r.first_word, r.last_word) for r in contaminated(make_docs(spark, rows), bench).collect()}
     assert got == {(1, 0, 1.0, 1, 15), (2, 0, 1.0, 1, 40), (3, 1, 1.0, 0, 14), (5, 0, 1.0, 26, 40)}
+
+
+def test_copies_without_intact_grams_and_short_items(spark):
+    """Every document and item that the plain recurrence puts at the threshold is found, whatever its length or edits."""
+    rnd = random.Random(10)
+    vocab = ["w%d" % i for i in range(60)]
+    items = [(n, " ".join(rnd.choice(vocab) for _ in range(n))) for n in (1, 2, 3, 4, 6, 8, 11, 12, 15, 24, 40)]
+    rows = []
+    for n, t in items:
+        w = t.split()
+        for gap in (1, 2, 3):
+            rows.append((len(rows), "x y " + " ".join(v + (" z" if (k + 1) % gap == 0 else "") for k, v in enumerate(w)) + " y x"))
+        for _ in range(6):
+            edit = [rnd.choice([v, v, v, "z", "", v + " z"]) for v in w]
+            rows.append((len(rows), " ".join(edit) + " q " + " ".join(rnd.choice(vocab) for _ in range(30))))
+    want = set()
+    for i, t in rows:
+        for n, item in items:
+            share = plain_align(item.split(), t.split()) / (2 * n)
+            if share >= (0.5 if n > 2 else 1):
+                want.add((i, n, share))
+    bench = spark.createDataFrame([(*x, None) for x in items] + [(99, "!", None)], ITEMS)
+    got = contaminated(make_docs(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id, r.score) for r in got} == want and len(got) == len(want)
+    assert {n for _, n, _ in want} == {n for n, _ in items}
