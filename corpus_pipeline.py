@@ -37,20 +37,24 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one of smallest doc_id.
+    """One row of each group of near duplicates stays: the one of smallest doc_id, null ids behind all others.
 
-    Of repeated rows of one doc_id one stays. Rows without words, and rows of null doc_id, which cannot be
-    told apart by id, stay: of the latter one for each text.
+    Rows are told apart by id and text: of rows equal in both one stays, other rows of the same id are
+    judged by their own texts. Rows without words stay.
     """
-    docs = docs.select(*COLUMNS)
-    found = near_duplicates(docs).where("doc_id is not null").select("doc_id", "kept")
+    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    found = near_duplicates(keyed, id_col="__key").select("__key", "component_id")
     found = Workspace(spark, "groups").save(found)
-    twice = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = found.groupBy("__key").count().where("count > 1").select("__key")
     twice = Workspace(spark, "twice").save(twice)
-    kept = _without(spark, docs.where("doc_id is not null"), found.where("not kept").select("doc_id"), "doc_id")
+    members = found.where("__key <> component_id")
+    members = members.unionByName(members.select(F.col("component_id").alias("__key"), "component_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"]
+    stay = members.join(keyed.select("__key", "doc_id"), "__key").groupBy("component_id").agg(first.alias("__key"))
+    kept = _without(spark, keyed, members.select("__key").join(stay.select("__key"), "__key", "left_anti"), "__key")
     if not twice.isEmpty():
-        kept = _without(spark, kept, twice, "doc_id").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"])).select(*COLUMNS)
+        kept = _without(spark, kept, twice, "__key").unionByName(kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -82,3 +82,15 @@ def test_stages_take_nulls_repeats_and_nothing(spark, corpus):
         if name == "decontamination":
             assert len(rows) == len(odd)
         assert stage(spark, make_docs(spark, []), SF).collect() == []
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    """Rows of one id, or of none, stand for their own texts."""
+    text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
+    near = lambda tag: text(tag) + " more"
+    rows = [(1, text("a")), (1, text("b")), (5, near("a")), (5, text("c")), (5, text("c")), (9, near("c")), (None, text("d")), (None, near("d")), (None, near("b")), (None, text("e"))]
+    out = [(r.doc_id, r.text) for r in c.near_dup_stage(spark, make_docs(spark, rows), SF).collect()]
+    one = [x for x in out if x[0] is None and x[1] != text("e")]
+    assert len(one) == 1 and one[0][1] in (text("d"), near("d"))
+    assert len(out) == 5
+    assert set(out) - set(one) == {(1, text("a")), (1, text("b")), (5, text("c")), (None, text("e"))}
