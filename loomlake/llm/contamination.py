@@ -46,15 +46,35 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     return best, end
 
 
-def bounds(size: int, threshold: float) -> tuple[int, int, int]:
-    """(seeds, hits, span): an alignment at the threshold matches ``hits`` of any ``seeds`` words of its item.
+def bounds(size: int, threshold: float) -> tuple[int, int, int, int]:
+    """(seeds, hits, span, least): an alignment at the threshold matches ``hits`` of any ``seeds`` words of its item.
 
     With m of n words matched and i put in, 2 m - i >= 2 t n: so m >= t n, and the passage has at most
     n + i <= n (3 - 2 t) words.
+    ``least`` is the least m.
     """
     least = min(max(1, math.ceil(threshold * size - 1e-9)), size)
     hits = max(1, least * 2 // 5)
-    return size - least + hits, hits, max(size, math.floor(size * (3 - 2 * threshold) + 1e-9))
+    return size - least + hits, hits, max(size, math.floor(size * (3 - 2 * threshold) + 1e-9)), least
+
+
+def places(item: np.ndarray) -> dict[int, int]:
+    """Bits of the places of each word of the item."""
+    out: dict[int, int] = {}
+    for k, w in enumerate(item.tolist()):
+        out[w] = out.get(w, 0) | 1 << k
+    return out
+
+
+def in_order(where: dict[int, int], size: int, passage: np.ndarray) -> int:
+    """Words of the item that the passage holds in the item's order (longest common subsequence, a bit a word)."""
+    full = (1 << size) - 1
+    free = full
+    for w in passage.tolist():
+        if m := where.get(w):
+            hit = free & m
+            free = ((free + hit) | (free - hit)) & full
+    return size - free.bit_count()
 
 
 def limit(size: int, threshold: float) -> float:
@@ -88,6 +108,8 @@ def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.nd
     """Passages that hold enough of an item's seeds are aligned with it."""
     hashed = [hash_words(w) for _, w in items]
     shares = [limit(len(h), threshold) for h in hashed]
+    where = [places(h) for h in hashed]
+    least = [bounds(len(h), t)[3] for h, t in zip(hashed, shares, strict=True)]
     hits, spans = (np.array([bounds(len(h), t)[k] for h, t in zip(hashed, shares, strict=True)]) for k in (1, 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,6 +141,8 @@ def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.nd
                     item, top = hashed[n], (0.0, 0, 0)
                     for start, stop in passages(pos[first[a:b]], pos[last[a:b]], int(spans[n])):
                         part = h[start:stop]
+                        if in_order(where[n], len(item), part) < least[n]:
+                            continue  # too few matches for the threshold
                         score, tail = align(item, part)
                         if score > top[0]:
                             back = align(item[::-1], part[: tail + 1][::-1])[1]
