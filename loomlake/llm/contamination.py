@@ -108,6 +108,7 @@ def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.nd
     """Passages that hold enough of an item's seeds are aligned with it."""
     hashed = [hash_words(w) for _, w in items]
     shares = [limit(len(h), threshold) for h in hashed]
+    heads, begin, many = np.unique(seeds, return_index=True, return_counts=True)
     where = [places(h) for h in hashed]
     least = [bounds(len(h), t)[3] for h, t in zip(hashed, shares, strict=True)]
     hits, spans = (np.array([bounds(len(h), t)[k] for h, t in zip(hashed, shares, strict=True)]) for k in (1, 2))
@@ -117,12 +118,12 @@ def _score(items: list[tuple[int, list[bytes]]], seeds: np.ndarray, owner: np.nd
             out: list[tuple] = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = hash_words(plain_words(text.as_py()))
-                lo, hi = np.searchsorted(seeds, h, "left"), np.searchsorted(seeds, h, "right")
-                at = np.flatnonzero(hi > lo)
+                near = np.minimum(np.searchsorted(heads, h), len(heads) - 1)
+                at = np.flatnonzero(heads[near] == h)
                 if not len(at):
                     continue
-                count = hi[at] - lo[at]
-                k = np.repeat(lo[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                lo, count = begin[near[at]], many[near[at]]
+                k = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 pos, own = np.repeat(at, count), owner[k]
                 order = np.argsort(own, kind="stable")
                 pos, own = pos[order], own[order]
