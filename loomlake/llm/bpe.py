@@ -1,56 +1,61 @@
-"""BPE encoding with the tokenizers library behind caches, and tree concatenation of long texts (operator 10).
+"""BPE encoding and decoding equal to the tokenizers library's, and tree concatenation of long texts (operator 10).
 
-The library's own model encodes every distinct piece; texts are put together from cached pieces. Texts
-with characters outside a plain Latin set go through the library's own normaliser and pre-tokeniser.
+Texts are cut where pre-tokens of the known kinds always end. The library encodes each distinct part once; texts are
+put together from these by array operations, so what runs in Python is one step a distinct part.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import os
 import re
-from array import array
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import bounded_batches, groups
-
-#: Characters on which Python's and the library's classes agree: ASCII text and letters up to U+017F.
-LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
-SPACE = " \n\t\r"
-PLAIN = re.compile(f"[ -~{SPACE}{LETTERS}]*")
-#: White space in which a space meets another; elsewhere one space belongs to the word behind it.
-UNEVEN = ["  ", " \n", " \t", " \r", "\n ", "\t ", "\r "]
-GPT2 = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in a generation of a worker's cache; texts longer than LONG characters are encoded as trees of halves.
-CACHE, LONG = 200_000, 16_384
+from .common import Workspace, bounded_batches, groups
+
+#: Texts longer than this many characters are encoded as trees of halves.
+LONG = 16_384
+#: Bytes of text handled at once (one text may have more), bytes of a part that is remembered at most, and parts that a
+#: worker remembers.
+STEP, SHORT, CACHE = 3_000_000, 64, 400_000
 #: A unit that begins this far before a cut, or nearer, may read past it.
 REACH = 4
+#: Units longer than this are joined by merging a window of their tokens, not encoded anew.
+UNIT = 64
+
+#: Fixed value: the split pattern of the word tokenizers that are known here.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: A part of one pre-token: letters on which Python and the library agree, and a space before them.
+PLAIN = re.compile("[ \n\t\r]*([A-Za-zÀ-ÖØ-öø-įı-ſ]+)")
+PLAIN_SPACED = re.compile("( ?[A-Za-zÀ-ÖØ-öø-įı-ſ]+)")
+
+
+def _classes() -> np.ndarray:
+    """Of each byte: 1 letter, 2 digit, 3 sign, 4 white space, 5 what may be white space, 0 apostrophe or above ASCII."""
+    out = np.zeros(256, np.int8)
+    for c in range(128):
+        s = chr(c)
+        out[c] = 1 if s.isalpha() else 2 if s.isdigit() else 4 if s in " \n\t\r" else 5 if s.isspace() else 3
+    out[ord("'")] = 0
+    return out
 
 
-def plain_pattern(pattern: str) -> re.Pattern:
-    """The pattern over the plain characters, with its Unicode classes spelled out."""
-    classes = {r"\p{L}": LETTERS, r"\p{N}": "0-9", r"\s": SPACE}
-    out, inside, i = "", False, 0
-    while i < len(pattern):
-        two = next((c for c in (r"\p{L}", r"\p{N}", r"\s") if pattern.startswith(c, i)), None)
-        if two:
-            out += classes[two] if inside else f"[{classes[two]}]"
-            i += len(two)
-            continue
-        if pattern.startswith(r"\S", i):
-            out += f"[^{SPACE}]"
-            i += 2
-            continue
-        inside = {"[": True, "]": False}.get(pattern[i], inside)
-        out += pattern[i]
-        i += 1
-    return re.compile(out)
+_CLASS = _classes()
+#: Whether a pre-token always ends between a byte of one class and the next byte's.
+_BREAK = np.array([[a != b and a in (1, 2, 3) and b in (1, 2, 3, 4) or b == 4 and a in (0, 1, 2, 3) for b in range(6)] for a in range(6)])
+#: Lead bytes of the characters above ASCII among which white space is.
+_LEAD = np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 
 
 def byte_alphabet() -> list[str]:
@@ -60,139 +65,209 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(spare)) for b in range(256)]
 
 
-class _Words(dict):
-    """Ids by word, made when first looked up. ``turn`` starts a new generation: words that come up again move
-    into it from the last one, so the frequent ones stay and the number held is bounded."""
+_ALPHABET = dict(enumerate(byte_alphabet()))
 
-    def __init__(self, make, before: str):
-        super().__init__()
-        self.make, self.before, self.last = make, before, {}
 
-    def __missing__(self, word: str) -> bytes:
-        got = self.last.get(word)
-        if got is None:
-            got = self.make(self.before + word)
-        self[word] = got
-        return got
+def mapped(text: str) -> str:
+    """The text's UTF-8 bytes in the byte alphabet."""
+    if text.isascii() and text.isprintable():  # only the space changes
+        return text.replace(" ", _ALPHABET[32])
+    return text.encode("utf-8").decode("latin-1").translate(_ALPHABET)
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, n + 1 offsets) of an array of strings; null is empty."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = texts.cast(pa.string())
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    _, ends, data = texts.buffers()
+    at = np.frombuffer(ends, np.int32)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int32)
+    flat = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+    return flat[at[0] : at[-1]], at - at[0]
+
 
-    def turn(self, most: int) -> None:
-        if len(self) >= most:
-            self.last = dict(self)
-            self.clear()
+def steps(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about STEP bytes; a longer text is a range of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(ends):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + STEP, "right")))
+        yield at, to
+        at = to
+
+
+class _Known:
+    """Ids by part, as arrays. When full, the half that came up in the fewest steps goes."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.keys, self.flat = pa.array([], pa.binary()), np.empty(0, np.uint32)
+        self.size, self.seen = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def find(self, parts: pa.Array) -> np.ndarray:
+        """Places of the parts, -1 where unknown."""
+        at = pc.fill_null(pc.index_in(parts, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.seen[at[at >= 0]] += 1
+        return at
+
+    def add(self, parts: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        short = pc.binary_length(parts).to_numpy(zero_copy_only=False) <= SHORT
+        self.keys = pa.concat_arrays([self.keys, parts.filter(pa.array(short))])
+        self.flat = np.concatenate([self.flat, flat[np.repeat(short, size)]])
+        self.size = np.concatenate([self.size, size[short]])
+        self.seen = np.concatenate([self.seen, np.ones(int(short.sum()), np.int64)])
+        if len(self.size) > self.most:
+            keep = np.zeros(len(self.size), bool)
+            keep[np.argsort(-self.seen, kind="stable")[: self.most // 2]] = True
+            self.keys, self.flat = self.keys.filter(pa.array(keep)), self.flat[np.repeat(keep, self.size)]
+            self.size, self.seen = self.size[keep], self.seen[keep] // 2
 
 
 class Encoder:
-    """``ids(text)`` equals the library's ``encode(text, add_special_tokens=False).ids`` as little-endian uint32."""
+    """Ids equal to the library's ``encode(text, add_special_tokens=False).ids``."""
 
     def __init__(self, path: str, cache: int = CACHE):
-        self.cache = cache
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
+        self.path = path
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation(), self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.spec = spec
-        self.tokenize = self.tok.model.tokenize
-        pre = spec.get("pre_tokenizer") or {}
-        self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+        bare = lambda p: p.get("type") == "ByteLevel" and not p.get("add_prefix_space")
+        spaced = bare(pre) and pre.get("use_regex") and not norm
         parts = pre.get("pretokenizers") or []
-        split = parts[0]["pattern"]["Regex"] if len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"] else None
-        norms = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-        self.worded = bool(split) and norms == ["NFC", "Replace", "Lowercase"]
-        pattern = GPT2 if self.spaced else split if self.worded else None
-        self.pattern = plain_pattern(pattern) if pattern else None
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        found = sorted(self.special, key=len, reverse=True)
-        self.marks = re.compile("|".join(map(re.escape, found))) if found else None
-        self.table = dict(enumerate(byte_alphabet()))
-        self.pieces: dict[str, bytes] = {}
-        self.later = _Words(self.word, " " if self.spaced else "")
-
-    # -- pieces ------------------------------------------------------------------------------------
-    def mapped(self, piece: str) -> str:
-        if piece.isascii() and piece.isprintable():  # only the space changes
-            return piece.replace(" ", self.table[32])
-        return piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table)
-
-    def model(self, mapped: str) -> bytes:
-        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-
-    def piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = self.model(self.mapped(piece))
-            if len(piece) <= 64:
-                if len(self.pieces) >= self.cache:
-                    self.pieces.clear()
-                self.pieces[piece] = got
-        return got
+        self.worded = bool(
+            len(parts) == 2 and parts[0]["type"] == "Split" and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+            and parts[0]["pattern"].get("Regex") == WORDS and bare(parts[1]) and not parts[1].get("use_regex")
+            and [n["type"] for n in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
+        )
+        added = spec["added_tokens"]
+        alone = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"]) for t in added)
+        model = spec["model"]
+        merges = model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not model.get("continuing_subword_prefix")
+        #: Whether texts are cut into parts, and whether long texts can be joined from halves.
+        self.parted = bool((spaced or self.worded) and alone)
+        self.treed = self.parted and merges
+        self.plain = PLAIN if self.worded else PLAIN_SPACED
+        self.special = {t["content"]: t["id"] for t in added}
+        self.marks = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
+        self.known = _Known(cache)
+
+    def starts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """First bytes of the parts: those of the texts, and places where a pre-token always ends."""
+        first = np.zeros(len(data), bool)
+        if self.parted and len(data):
+            kind = _CLASS[data]
+            first[1:] = _BREAK[kind[:-1], kind[1:]]
+            lead = np.flatnonzero(_LEAD[data])
+            for k in (2, 3):  # the character before may be white space above ASCII
+                first[lead[lead + k < len(data)] + k] = False
+            whole = data.tobytes()
+            for mark in self.special:  # a special token's string stays whole
+                mark, k = mark.encode(), -1
+                while (k := whole.find(mark, k + 1)) >= 0:
+                    first[k + 1 : k + len(mark)] = False
+        first[at[:-1][at[1:] > at[:-1]]] = True
+        return np.flatnonzero(first)
+
+    def folded(self, data: np.ndarray) -> np.ndarray:
+        """A-Z lower-cased where the tokenizer does so anyway, unless that would make a special token's string."""
+        if not self.worded or not self.parted:
+            return data
+        low = _LOWER[data]
+        whole = low.tobytes()
+        return data if any(m.lower().encode() in whole for m in self.special) else low
+
+    def made(self, parts: list[bytes]) -> list[list[int]]:
+        """Ids of parts: a single plain pre-token goes to the library's model, all else through the whole library."""
+        texts = [p.decode("utf-8", "replace") for p in parts]
+        out: list = [None] * len(texts)
+        rest = []
+        for k, t in enumerate(texts):
+            m = self.plain.fullmatch(t) if self.parted and len(t) <= SHORT else None
+            if m:
+                t = m[1].lower() if self.worded else m[1]
+                out[k] = self.unit_ids(t)
+            else:
+                rest.append(k)
+        for k, e in zip(rest, self.tok.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        return out
 
-    def units(self, text: str) -> list[str]:
-        """Pre-tokens of a text without special tokens, normalised, in the byte alphabet only if not plain."""
-        if self.pattern and PLAIN.fullmatch(text):
-            return self.pattern.findall(text.lower() if self.worded else text)
-        if self.tok.normalizer:
-            text = self.tok.normalizer.normalize_str(text)
-        return [p for p, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
-
-    def segment(self, text: str) -> bytes:
-        if self.pattern and PLAIN.fullmatch(text):
-            return b"".join(map(self.piece, self.units(text)))
-        return b"".join(map(self.model, self.units(text)))
-
-    def word(self, text: str) -> bytes:
-        """Ids of a plain word (with the space before it); one of a single piece needs no entry of its own."""
-        if self.worded:
-            text = text.lower()
-        bare = text[1:] if text[:1] == " " else text
-        if bare.isalpha():  # letters are one piece, and a stop or comma behind them another
-            return self.pieces.get(text) or self.model(self.mapped(text))
-        if bare[-1:] in (",", ".") and bare[:-1].isalpha():
-            return self.piece(text[:-1]) + self.piece(text[-1])
-        return b"".join(map(self.piece, self.pattern.findall(text)))
-
-    def plain_words(self, t: str) -> bool:
-        """Whether white space splits the text into words that are encoded on their own."""
-        if not self.pattern or any(m in t for m in self.special) or not PLAIN.fullmatch(t):
-            return False
-        return self.worded or not (t[:1] == " " or t[-1:] == " " or any(u in t for u in UNEVEN))
-
-    # -- whole texts -------------------------------------------------------------------------------
-    def direct(self, text: str) -> bytes:
-        if not self.marks or not self.marks.search(text):
-            return self.segment(text)
-        out, at = [], 0
-        for m in self.marks.finditer(text):
-            out += [self.segment(text[at : m.start()]), np.array([self.special[m[0]]], "<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self.segment(text[at:])])
+    def parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, ends of the parts' ids, first part of each text, bytes, starts of parts and the end)."""
+        data, at = raw(texts)
+        cut = self.starts(data, at)
+        bounds = np.append(cut, len(data)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(self.folded(data)))])
+        coded = words.dictionary_encode()
+        known, slot = self.known, self.known.find(coded.dictionary)
+        lost = np.flatnonzero(slot < 0)
+        new = coded.dictionary.take(pa.array(lost))
+        made = self.made(new.to_pylist())
+        many = np.fromiter(map(len, made), np.int64, len(made))
+        ids = np.fromiter(chain.from_iterable(made), np.uint32, int(many.sum()))
+        slot[lost] = len(known.size) + np.arange(len(lost))
+        size, flat = np.concatenate([known.size, many]), np.concatenate([known.flat, ids])
+        if len(lost):
+            known.add(new, ids, many)
+        which = slot[coded.indices.to_numpy(zero_copy_only=False)]
+        many = size[which]
+        ends = np.concatenate([[0], np.cumsum(many)])
+        place = np.repeat((np.cumsum(size) - size)[which] - ends[:-1], many)
+        place += np.arange(len(place))
+        return flat[place], ends, np.searchsorted(cut, at), data, bounds
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, n + 1 offsets of the texts in them)."""
+        ids, ends, first, _, _ = self.parts(texts)
+        return ids, ends[first]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Plain texts are split at white space, where no pre-token can cross, and looked up whole words at a time."""
-        split: list[list[str] | None] = []
-        for t in texts:
-            if self.plain_words(t):
-                split.append(t.split() if self.worded else t.split(" "))
-            else:
-                split.append(None)
-        out, look = [], self.later.__getitem__
-        for t, s in zip(texts, split, strict=True):
-            if s is None:
-                out.append(self.direct(t))
-            elif self.spaced:
-                out.append(self.word(s[0]) + b"".join(map(look, s[1:])))
-            else:
-                out.append(b"".join(map(look, s)))
-        self.later.turn(self.cache)
+        ids, ends = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    # -- units: pre-tokens, and what lies between them, without ids ---------------------------------
+    def normal(self, text: str) -> str:
+        return self.tok.normalizer.normalize_str(text) if self.tok.normalizer else text
+
+    def split(self, text: str) -> list[tuple[str, bool]]:
+        """(unit, whether it is a pre-token) of a normalised text; the units cover it."""
+        out, at = [], 0
+        for _, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text):
+            if a > at:
+                out.append((text[at:a], False))
+            out.append((text[a:b], True))
+            at = b
+        if at < len(text):
+            out.append((text[at:], False))
         return out
 
+    def unit_ids(self, unit: str) -> list[int]:
+        return [t.id for t in self.tok.model.tokenize(mapped(unit))]
+
+    def units(self, text: str) -> list[tuple[str, list[int]]]:
+        return [(u, self.unit_ids(u) if token else []) for u, token in self.split(text)]
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, kept with its cache from task to task."""
+    return Encoder(path)
+
 
 class Merger:
     """The merge rule on symbol lists, for joins inside one long pre-token."""
 
-    def __init__(self, spec: dict):
-        model = spec["model"]
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         self.end = model.get("end_of_word_suffix") or ""
-        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rank = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.vocab = model["vocab"]
         self.token = {i: t for t, i in self.vocab.items()}
@@ -250,22 +325,23 @@ class Tree:
     units next to its ends that no white space cuts off, middle the ids between; a solid node has no middle."""
 
     def __init__(self, enc: Encoder):
-        self.enc, self.merger = enc, Merger(enc.spec)
-
-    def unit_ids(self, unit: str) -> list[int]:
-        return np.frombuffer(self.enc.piece(unit), "<u4").tolist()
-
-    def leaf(self, text: str) -> tuple:
-        words = text.split()
-        if not words:
-            return ([], [], []) if text else ([], None, [])
-        both = [[(u, self.unit_ids(u)) for u in self.enc.units(w)] for w in (words[0], words[-1])]
-        open_left, open_right = not text[0].isspace(), not text[-1].isspace()
-        if len(words) == 1 and open_left and open_right:
-            return (both[0], None, [])
-        inner = words[1 if open_left else 0 : len(words) - 1 if open_right else len(words)]
-        middle = np.frombuffer(self.enc.batch([" ".join(inner)])[0], "<u4").tolist()
-        return (both[0] if open_left else [], middle, both[1] if open_right else [])
+        self.enc = enc
+
+    @functools.cached_property
+    def merger(self) -> Merger:
+        return Merger(self.enc.path)
+
+    def leaves(self, texts: list[str]) -> list[tuple]:
+        enc = self.enc
+        ids, ends, first, data, at = enc.parts(pa.array(texts, pa.string()))
+        units = lambda k: enc.units(enc.normal(bytes(data[at[k] : at[k + 1]]).decode()))
+        out = []
+        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            if b - a < 2:
+                out.append((units(a) if b > a else [], None, []))
+            else:
+                out.append((units(a), [ids[ends[a + 1] : ends[b - 1]]], units(b - 1)))
+        return out
 
     def units(self, a: list, b: list) -> list:
         """Units of two touching runs of them: re-split from the last units of a that are settled, through a
@@ -287,161 +363,228 @@ class Tree:
                 at += len(u)
             new, at, done = [], 0, k == len(b)
             take = len(b)
-            for u in self.enc.units(text):
+            for u in self.enc.split(text):
                 if at in bounds and at <= len(text) - REACH:
                     take, done = bounds[at], True
                     break
                 new.append(u)
-                at += len(u)
+                at += len(u[0])
             if done:
                 out = a[:keep]
-                for u in new:
+                for u, token in new:
                     x, y = a[-1], b[0]
-                    if u == x[0] + y[0] and len(u) > 64:
+                    if not token:
+                        out.append((u, []))
+                    elif u == x[0] + y[0] and len(u) > UNIT:
                         out.append((u, self.merger.join(x[1], y[1])))
                     else:
-                        out.append((u, known[u] if u in known else self.unit_ids(u)))
+                        out.append((u, known[u] if u in known else self.enc.unit_ids(u)))
                 return out + b[take:]
             k *= 2
 
     def join(self, x: tuple, y: tuple) -> tuple:
-        flat = lambda units: list(chain.from_iterable(i for _, i in units))
-        if x[1] is None and y[1] is None:
-            return (self.units(x[0], y[0]), None, [])
         if x[1] is None:
             return (self.units(x[0], y[0]), y[1], y[2])
         if y[1] is None:
             return (x[0], x[1], self.units(x[2], y[0]))
-        return (x[0], x[1] + flat(self.units(x[2], y[0])) + y[1], y[2])
+        return (x[0], [*x[1], flat(self.units(x[2], y[0])), *y[1]], y[2])
 
-    def whole(self, nodes: list[tuple]) -> list[int]:
+    def whole(self, nodes: list[tuple]) -> np.ndarray:
         """Neighbours are joined pairwise, level by level."""
         while len(nodes) > 1:
             nodes = [self.join(*nodes[i : i + 2]) if i + 1 < len(nodes) else nodes[i] for i in range(0, len(nodes), 2)]
         head, middle, tail = nodes[0]
-        return list(chain.from_iterable([*(i for _, i in head), middle or [], *(i for _, i in tail)]))
+        return np.concatenate([flat(head), *(middle or []), flat(tail)])
+
+
+def flat(units: list) -> np.ndarray:
+    return np.array([i for _, ids in units for i in ids], np.uint32)
+
+
+def apart(c: str) -> bool:
+    """Whether Unicode composition never joins or moves the character over what stands before it."""
+    if c < "\x80":
+        return True
+    if "ᄀ" <= c <= "ᇿ" or "ힰ" <= c <= "퟿":  # parts of Korean syllables
+        return False
+    kind = unicodedata.category(c)
+    return kind[0] in "LNPSZ" and not unicodedata.combining(c) and (c <= "￿" or c >= "\U00020000" or kind[0] == "S")
 
 
 def halves(text: str, most: int) -> list[str]:
+    """Leaves of up to ``most`` characters, cut in the middle or at the next character that stands apart."""
     if len(text) <= most:
         return [text]
     mid = len(text) // 2
+    while mid < len(text) and not apart(text[mid]):
+        mid += 1
+    if mid == len(text):
+        return [text]
     return halves(text[:mid], most) + halves(text[mid:], most)
 
 
-def _ids(path: str, long: int):
-    """Short texts, and long ones that are not plain or hold special tokens: the library's segments directly."""
+class Decoder:
+    """Texts of ids, as the library's ``decode(ids, skip_special_tokens=False)``."""
+
+    def __init__(self, path: str):
+        self.tok = Tokenizer.from_file(path)
+        self.names = None
+        if self.tok.decoder is None:
+            vocab = self.tok.get_vocab(with_added_tokens=True)
+            names: list[str | None] = [None] * (max(vocab.values(), default=-1) + 1)
+            for t, i in vocab.items():
+                names[i] = t
+            self.names = pa.array(names, pa.string())
 
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """A tokenizer without a decoder joins its tokens by spaces; unknown ids have no token."""
+        if self.names is not None and (not len(ids) or int(ids.max()) < len(self.names)):
+            tokens = self.names.take(pa.array(ids))
+            if not tokens.null_count:
+                return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
+        lists = (ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True))
+        return pa.array([self.tok.decode(x, skip_special_tokens=False) for x in lists], pa.string())
+
+
+@functools.lru_cache(maxsize=1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
+def _columns(first: pa.Array, ids: np.ndarray, ends: np.ndarray, path: str | None) -> pa.RecordBatch:
+    """id, ids and, where a path is given, the text decoded from the ids."""
+    cols = [first, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))]
+    if path:
+        cols.append(decoder(path).texts(ids, ends))
+    return pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"][: len(cols)])
+
+
+def _direct(path: str, back: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                got = enc.batch([t or "" for t in part.column(1).to_pylist()])
-                flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
-                ends = np.cumsum([0] + [len(g) // 4 for g in got])
-                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
+            for a, b in steps(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield _columns(part.column(0), *enc.encode(part.column(1)), back)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _leaves(long: int):
-    """(row, leaf, text) of long texts; row numbers tell repeated ids apart."""
+def _leaves(path: str, long: int):
+    """(id, row, leaf, special, text): halves of what stands between special tokens, and these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(path)
         for batch in batches:
-            for i, row, text in zip(*(batch.column(n).to_pylist() for n in ("id", "row", "t")), strict=True):
-                leaves = halves(text, long)
-                n = len(leaves)
+            for i, row, text in zip(*(batch.column(n) for n in ("id", "row", "t")), strict=True):
+                text, found, at = text.as_py(), [], 0
+                for m in enc.marks.finditer(text) if enc.marks else ():
+                    found += [(None, x) for x in halves(text[at : m.start()], long) if x] + [(enc.special[m[0]], None)]
+                    at = m.end()
+                found += [(None, x) for x in halves(text[at:], long) if x]
+                n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([i] * n, pa.int64()), pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(leaves, pa.string())],
-                    ["id", "row", "leaf", "t"],
-                )
+                    [pa.array([i.as_py()] * n, pa.int64()), pa.array([row.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()),
+                     pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.string())],
+                    ["id", "row", "leaf", "special", "t"],
+                )
 
     return run
 
 
-_UNIT = "array<struct<u: string, ids: array<int>>>"
+_UNITS = "array<struct<u: string, ids: array<int>>>"
+_NODE = f"id long, row long, leaf int, head {_UNITS}, mid binary, tail {_UNITS}"
 
 
 def _nodes(path: str):
+    unit = pa.list_(pa.struct([("u", pa.string()), ("ids", pa.list_(pa.int32()))]))
+
+    def pack(units: list) -> list:
+        return [{"u": u, "ids": i} for u, i in units]
+
+    def node(special, got) -> tuple:
+        if special is not None:
+            return ([], [np.array([special], np.uint32)], [])
+        return got
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(Encoder(path))
-        unit = pa.list_(pa.struct([("u", pa.string()), ("ids", pa.list_(pa.int32()))]))
-        pack = lambda us: [{"u": u, "ids": i} for u, i in us]
+        tree = Tree(encoder(path))
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                got = [tree.leaf(t) for t in part.column("t").to_pylist()]
+            for a, b in steps(batch.column("t")):
+                part = batch.slice(a, b - a)
+                leaves = tree.leaves([t or "" for t in part.column("t").to_pylist()])
+                got = [node(s, x) for s, x in zip(part.column("special").to_pylist(), leaves, strict=True)]
+                middle = [None if g[1] is None else np.concatenate(g[1]).astype("<u4").tobytes() for g in got]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("row"), part.column("leaf"), pa.array([pack(g[0]) for g in got], unit),
-                     pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([pack(g[2]) for g in got], unit)],
+                     pa.array(middle, pa.binary()), pa.array([pack(g[2]) for g in got], unit)],
                     ["id", "row", "leaf", "head", "mid", "tail"],
                 )
 
     return run
 
 
-def _trees(path: str):
+def _trees(path: str, back: str | None):
+    def unpack(units: list) -> list:
+        return [(x["u"], x["ids"]) for x in units]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = Tree(Encoder(path))
-        unpack = lambda us: [(x["u"], x["ids"]) for x in us]
+        tree = Tree(encoder(path))
         for _, g in groups(batches, ["row"]):
-            nodes = [(unpack(h), m, unpack(t)) for h, m, t in zip(g["head"], g["mid"], g["tail"], strict=True)]
+            nodes = [
+                (unpack(h), None if m is None else [np.frombuffer(m, "<u4")], unpack(t))
+                for h, m, t in zip(g["head"], g["mid"], g["tail"], strict=True)
+            ]
             ids = tree.whole(nodes)
-            yield pa.RecordBatch.from_arrays([pa.array(g["id"][:1], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], ["id", "ids"])
+            yield _columns(pa.array(g["id"][:1], pa.int64()), ids, np.array([0, len(ids)]), back)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG) -> DataFrame:
-    """id, ids (array<int>) of each row's whole text: what the tokenizers library gives without special tokens added.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", long: int = LONG, decoded: bool = False) -> DataFrame:
+    """id, ids (array<int>) of each row's whole text: what the tokenizers library gives without special tokens added;
+    with ``decoded`` also the text that ``decode`` gives of these ids, made in the same pass.
 
-    Texts of up to ``long`` characters are encoded in place. A longer plain text is halved, wherever its
-    middle falls, down to leaves that are dealt to all tasks and encoded there; neighbouring leaves are then
-    joined level by level, re-splitting a growing window around each cut until a unit boundary of both
-    sides agrees, and, inside one long pre-token, re-merging a growing window of tokens until the pairs at
-    both its ends encode to themselves. Long texts outside the plain set or with special tokens' strings,
-    and tokenisers of another make, are encoded in place too, so results never depend on ``long``.
+    Texts of up to ``long`` characters are encoded in place. A longer one is split at the strings of special tokens and
+    halved between them, wherever the middle falls (before a character that Unicode composition leaves apart), down to
+    leaves that are dealt to all tasks and encoded there. Neighbouring leaves are then joined level by level: a growing
+    window around each cut is split anew until a unit boundary of both sides agrees, and, inside one long pre-token, a
+    growing window of tokens is merged anew until the pairs at both its ends encode to themselves. Scripts make no
+    difference. Tokenizers of another make (neither byte-level with the usual pattern nor words with ends) are encoded
+    in place, so results never depend on ``long``.
 
-    Null and empty texts have no ids. Repeated and null ids are kept as rows of their own; other columns are
-    ignored; an empty table gives an empty result.
+    Null and empty texts have no ids (and decode to the empty text). Repeated and null ids are kept as rows of their
+    own; other columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    enc = Encoder(path)
-    if not enc.worded:
-        out = src.mapInArrow(_ids(path, long), "id long, ids array<int>")
-        return out.select(F.col("id").alias(id_col), "ids")
-    plain = F.col("t").rlike(rf"\A[ -~{SPACE}{LETTERS}]*+\z")
-    if enc.special:
-        plain = plain & ~F.col("t").rlike("|".join(re.escape(s) for s in enc.special))
-    tall = F.coalesce((F.length("t") > long) & plain, F.lit(False))
-    short = src.where(~tall).mapInArrow(_ids(path, long), "id long, ids array<int>")
-    leaves = src.where(tall).withColumn("row", F.monotonically_increasing_id())
-    leaves = leaves.select("id", "row", "t").mapInArrow(_leaves(long), "id long, row long, leaf int, t string")
-    nodes = leaves.repartition("row", "leaf").mapInArrow(_nodes(path), f"id long, row long, leaf int, head {_UNIT}, mid array<int>, tail {_UNIT}")
-    tall_ids = nodes.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(_trees(path), "id long, ids array<int>")
-    return short.unionByName(tall_ids).select(F.col("id").alias(id_col), "ids")
+    back, schema = (path, "id long, ids array<int>, decoded string") if decoded else (None, "id long, ids array<int>")
+    tall = F.coalesce(F.length("t") > long, F.lit(False))
+    if not Encoder(path).treed:
+        out = src.mapInArrow(_direct(path, back), schema)
+    else:
+        out = src.where(~tall).mapInArrow(_direct(path, back), schema)
+        # Written before its rows are dealt, so their numbers hold when a task runs again.
+        rows = Workspace(docs.sparkSession, "long").save(src.where(tall).withColumn("row", F.monotonically_increasing_id()))
+        leaves = rows.mapInArrow(_leaves(path, long), "id long, row long, leaf int, special int, t string")
+        nodes = leaves.repartition("row", "leaf").mapInArrow(_nodes(path), _NODE)
+        out = out.unionByName(nodes.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(_trees(path, back), schema))
+    return out.withColumnRenamed("id", id_col)
 
 
 def _texts(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = Tokenizer.from_file(path)
-        names = None
-        if tok.decoder is None:
-            vocab = tok.get_vocab(with_added_tokens=True)
-            names = [""] * (max(vocab.values(), default=-1) + 1)
-            for t, i in vocab.items():
-                names[i] = t
         for batch in batches:
-            k = batch.schema.get_field_index("ids")
-            for i in range(0, batch.num_rows, 128):  # few lists of Python integers at once
-                part = batch.slice(i, 128)
-                lists = part.column(k).to_pylist()
-                text = [None if x is None else " ".join(map(names.__getitem__, x)) if names is not None else tok.decode(x, skip_special_tokens=False) for x in lists]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], [*part.schema.names, "decoded"])
+            lists = batch.column("ids")
+            for i in range(0, batch.num_rows, 128):
+                part, rows = batch.slice(i, 128), lists.slice(i, 128)
+                size = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+                ids = rows.flatten().to_numpy(zero_copy_only=False).astype(np.uint32)
+                text = decoder(path).texts(ids, np.concatenate([[0], np.cumsum(size)]))
+                text = pc.if_else(pc.is_valid(rows), text, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns, text], [*part.schema.names, "decoded"])
 
     return run
 
@@ -449,7 +592,7 @@ def _texts(path: str):
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """``encoded`` (with a column ids) and decoded, the library's text of the ids, special tokens included.
 
-    A tokeniser without a decoder joins its tokens by spaces. Null ids give null, no ids the empty text.
+    A tokenizer without a decoder joins its tokens by spaces. Null ids give null, no ids the empty text.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string"
     return encoded.mapInArrow(_texts(path), schema)
