@@ -76,35 +76,51 @@ select w.doc_id, len(ws)::bigint as n_words, coalesce(gone.n, 0)::bigint as n_re
 from w left join k using (doc_id) left join gone using (doc_id)
 """
 
-_PHRASES = ", ".join(f"({n}, {n < len(BASE)}, '{label}', '{phrase}')" for n, (phrase, label) in enumerate(BASE + TEMPLATES))
+_PHRASES = ", ".join(f"({n}, '{phrase}', '{label}')" for n, (phrase, label) in enumerate(BASE))
+_TEMPLATES = ", ".join(f"({n}, '{phrase}', '{needed}', '{label}')" for n, (phrase, needed, label) in enumerate(TEMPLATES))
 
+# Base phrases by comparing slices of words; copies by paths over the text's and template's equal word pairs: a copy is
+# a set of pairs linked by diagonals, and its share the length of its longest ascending path.
 OP7 = rf"""
-with w as (
+with recursive w as (
   select doc_id, coalesce(list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), []) as ws from documents
-), phrase(template, base, label, p) as (
-  values {_PHRASES}
-), t as (
-  select template, base, label, len(string_split(p, ' ')) as size, o, string_split(p, ' ')[o + 1] as a, string_split(p, ' ')[o + 2] as b
-  from (select *, unnest(range(len(string_split(p, ' ')) - 1)) as o from phrase)
-), g as (
-  select doc_id, i as pos, ws[i + 1] as a, ws[i + 2] as b from (select doc_id, ws, unnest(range(len(ws) - 1)) as i from w where len(ws) > 1)
-), line as (
-  select doc_id, template, base, label, size, pos - o as d, list(distinct o) as o from g join t using (a, b) group by all
-), cut as (
-  select *, case when base or d - lag(d) over q <= {NEAR} is not true then 1 else case when base then 1 else 0 end end as fresh from line window q as (partition by doc_id, template order by d)
+), b(n, p, label) as (values {_PHRASES}),
+place as (
+  select doc_id, label, i from (select doc_id, ws, unnest(range(len(ws))) as i from w), b
+  where ws[i + 1] = string_split(p, ' ')[1] and ws[i + 1 : i + len(string_split(p, ' '))] = string_split(p, ' ')
+), t(n, p, core, label) as (values {_TEMPLATES}),
+g as (
+  select n, label, len(string_split(p, ' ')) - 1 as grams, len(string_split(p[:strpos(p, core) - 1], ' ')) - 1 as c, len(string_split(core, ' ')) - 1 as m, o,
+    string_split(p, ' ')[o + 1] || ' ' || string_split(p, ' ')[o + 2] as gram
+  from (select *, unnest(range(len(string_split(p, ' ')) - 1)) as o from t)
+), pair as (
+  select doc_id, n, label, grams, c, m, i, o, i - o as d
+  from (select doc_id, i, ws[i + 1] || ' ' || ws[i + 2] as gram from (select doc_id, ws, unnest(range(len(ws) - 1)) as i from w where len(ws) > 1)) join g using (gram)
+), gap as (
+  select *, d - max(d) over (partition by doc_id, n order by d range between unbounded preceding and 1 preceding) as far from pair
+), part as (
+  select *, count(*) filter (far > {NEAR}) over (partition by doc_id, n order by d, i) as copy0 from gap
 ), copy as (
-  select *, sum(fresh) over (partition by doc_id, template order by d) as c from cut
-), span as (
-  select doc_id, template, base, label, size, c, min(d) as first, len(list_distinct(flatten(list(list_concat(o, list_transform(o, lambda x: x + 1)))))) / size as share
-  from copy group by doc_id, template, base, label, size, c
+  select * exclude (copy0), max(copy0) over (partition by doc_id, n, d) as copy from part
+), core as (
+  select distinct doc_id, n, copy from copy where o >= c and o < c + m group by doc_id, n, copy, d, m having count(*) = m
+), kept as (
+  select copy.* from copy join core using (doc_id, n, copy)
+), path(doc_id, n, copy, i, o, size) as (
+  select doc_id, n, copy, i, o, 1 from kept
+  union select path.doc_id, path.n, path.copy, k.i, k.o, path.size + 1 from path join kept k using (doc_id, n, copy) where k.i > path.i and k.o > path.o
 ), found as (
-  select doc_id, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word,
-    array_to_string(list_sort(list(distinct label) filter (base)), ',') as base_labels, array_to_string(list_sort(list(distinct label)), ',') as labels, max(share) as score
-  from span where (base and share = 1) or (not base and share >= {SHARE}) group by doc_id
+  select doc_id, t.label, max(size) / (len(string_split(p, ' ')) - 1) as share from path join t using (n) group by doc_id, n, copy, t.label, p having share >= {SHARE}
+), every as (
+  select doc_id, label, share, null::bigint as i from found union all select doc_id, label, 1.0, i from place
+), out as (
+  select doc_id, count(i) as n_base, min(i) as first_word, max(i) as last_word, array_to_string(list_sort(list(distinct label) filter (i is not null)), ',') as base_labels,
+    array_to_string(list_sort(list(distinct label)), ',') as labels, max(share) as score
+  from every group by doc_id
 )
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
-from w left join found using (doc_id)
+from w left join out using (doc_id)
 """
 
 ORACLE = {

@@ -1,3 +1,4 @@
+import random
 import re
 import struct
 import zlib
@@ -98,10 +99,59 @@ def test_licenses(spark):
         assert r.base_labels == ",".join(sorted({x for _, x in at}))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     edited = next(r for r in got if r.doc_id == 2)
-    assert edited.labels == "apache-2.0" and 0.6 <= edited.score < 1
+    assert edited.labels == "apache-2.0" and edited.score == 7 / 11
+    whole = {r.doc_id: r.labels for r in got}
+    assert whole[1] == "gpl,reserved" and whole[3] == whole[4] == whole[5] == ""
     assert scan_licenses(make_docs(spark, [])).collect() == []
 
 
+NOTICES = [
+    ("Licensed under the Apache License, Version 2.0.", "apache-2.0"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl,gpl-3"),
+    ("licensed under the GNU General Public License, version 2 or later", "gpl,gpl-2"),
+    ("licensed under the terms of the GNU Lesser General Public License, version 3", "gpl,gpl-3,lgpl"),
+    ("see the GNU Affero General Public License", "agpl,gpl"),
+    ("licensed under the GNU Affero General Public License", "agpl,gpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("Released under the MIT License.", "mit"),
+    ("Distributed under the MIT License.", "mit"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+    ("Licensed under CC BY 4.0", "cc-by"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted", "bsd"),
+    ("licensed under the license version 2 0", ""),
+    ("the general terms of a public license, version 3, as published by the foundation", ""),
+    ("software distributed under the license", ""),
+    ("license mit the under released", ""),
+    ("Licensed under the Apac\u212ae License, Version 2.0, \u212ac by", ""),
+]
+
+
+def test_license_labels_are_exact(spark):
+    filler = "lorem ipsum dolor sit amet consectetur " * 3
+    rows = [(n, filler + t + " " + filler) for n, (t, _) in enumerate(NOTICES)]
+    rows += [(100, filler * 2000 + NOTICES[0][0] + filler * 2000 + NOTICES[7][0]), (101, "license " * 3000 + "mit license " * 500)]
+    got = {r.doc_id: r for r in scan_licenses(make_docs(spark, rows)).collect()}
+    for n, (t, labels) in enumerate(NOTICES):
+        assert got[n].labels == labels, t
+    assert got[100].labels == "apache-2.0,mit" and got[101].labels == ""
+
+
+def test_chain_is_the_longest_ascending_run(spark):
+    from pyspark.sql import functions as F
+
+    from loomlake.llm.licenses import chain
+
+    rnd = random.Random(11)
+    sets = [sorted({(rnd.randrange(9), rnd.randrange(6)) for _ in range(rnd.randint(1, 14))}) for _ in range(80)]
+    df = spark.createDataFrame([(n, s) for n, s in enumerate(sets)], "n int, at array<struct<place:int,offset:int>>")
+    for n, size in df.select("n", chain(F.col("at"), F.lit(6))).collect():
+        runs = [1] * len(sets[n])
+        for x, (p, o) in enumerate(sets[n]):
+            runs[x] = 1 + max([runs[y] for y, (q, r) in enumerate(sets[n]) if q < p and r < o], default=0)
+        assert size == max(runs)
+
+
 TOKENS = [
     "Hello  world's  best\n\n\ttab \r end ", " lead", "it's I'LL they're 'so ''t 12345 x1y2", "naïve café ÀÉÎ ſt", "日本語テキスト and 中文", "é combining K İstanbul ß",
     "<|endoftext|> mid <|startoftext|>x<|endoftext|>", "x" * 3000, "ab1!" * 900, "word " * 2000, "supercalifragilistic" * 150, "a'" * 700 + "re", "", None, "\x1c\x85  sp ace", "🙂👍🏽 emoji", "\n" * 50, "don't" * 300,
@@ -112,7 +162,10 @@ TOKENS = [
 def test_word_bpe_equals_the_library(spark, long):
     tok = Tokenizer.from_file(WORD_BPE)
     rows = list(enumerate(TOKENS)) + [(0, TOKENS[0]), (None, TOKENS[3])]
-    out = bpe.decode(bpe.encode(make_docs(spark, rows), WORD_BPE, long=long), WORD_BPE).collect()
+    ids = bpe.encode(make_docs(spark, rows), WORD_BPE, long=long, decoded=True)
+    out = ids.collect()
+    key = lambda r: (str(r.doc_id), r.decoded)
+    assert sorted(out, key=key) == sorted(bpe.decode(ids.drop("decoded"), WORD_BPE).collect(), key=key)
     assert len(out) == len(rows)
     text = dict(rows)
     for r in out:
@@ -146,7 +199,7 @@ def test_store_round_trip(spark, corpus):
         start += r.n_tokens
         sums[r.doc_id].remove((r.n_tokens, r.ids_crc32))
     assert store.verify(made)
-    chunks = spark.table(made.packs).where("kind = 0")
+    chunks = made.packs.where("kind = 0")
     assert chunks.count() == chunks.select("key").distinct().count()
     assert store.checksums(store.write_store(make_docs(spark, []), BYTE_BPE)).collect() == []
 
