@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from ..functions.vectors import elu, relu
 from ..operators.layers import Matrix, gat_conv, graph_conv, sage_mean
 from ..operators.sampling import sample_in_edges
-from ..sources.scratch import written
+from ..sources.scratch import dropped, written
 
 
 def widths(layers: int, inputs: int, hidden: int, outputs: int) -> list[tuple[int, int]]:
@@ -45,15 +45,20 @@ class Model:
         raise NotImplementedError
 
     def infer(self, graph: GraphData) -> DataFrame:
-        """(id, x) of every node after the last layer."""
+        """(id, x) of every node after the last layer. What a layer alone has read goes when its output is written."""
         edges, nodes, x = written(graph.edges), written(graph.nodes), graph.features
         for i in range(len(self.layers)):
             sampled = sample_in_edges(edges, self.fanout, i, self.seed)
             if self.fanout >= 0:
                 sampled = written(sampled)
-            x = self.apply(i, sampled, x, nodes)
+            out = self.apply(i, sampled, x, nodes)
             if i < len(self.layers) - 1:
-                x = written(x)
+                out = written(out)
+                if self.fanout >= 0:
+                    dropped(sampled)
+                if i:
+                    dropped(x)
+            x = out
         return x
 
 

@@ -11,14 +11,33 @@ _own: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session. Only where it is unset and the master is local, a folder of our own:
+    executors on other machines could not read that."""
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is unset; on {master} it must name a folder that all executors share")
         found = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="loomlake-"))
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """The same rows, read back from a table of their own: the lineage ends there and its size is known."""
-    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    path = path or f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_path = path
+    return back
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that ``written`` made and nothing reads any more; others stay."""
+    for t in tables:
+        if path := t.__dict__.pop("written_path", None):
+            remove(t.sparkSession, path)
