@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,19 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset, a folder of our own (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="loomlake-"))
-    return found.rstrip("/")
-
+from ..sources.scratch import remove, shared_folder
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of a lookup table (of some tens of bytes each) that may be broadcast.
+LOOKUP_ROWS = 200_000
 #: Rows of an Arrow batch at most: texts have any length, so Spark's default of 10,000 rows bounds no memory.
 BATCH_ROWS = 500
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -86,9 +77,11 @@ class Workspace:
                 remove(self.spark, path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def lookup(rows: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """``rows`` joined to a table that has been written, of one short row a key: broadcast where its number of rows
+    allows, so hot keys do not move; beyond it both sides are scans, and Spark's skew handling splits a hot key (it does
+    not where a side is an aggregate on the same key)."""
+    return rows.join(F.broadcast(small) if small.count() <= LOOKUP_ROWS else small, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -123,8 +116,8 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
 
     Alternates large-star and small-star steps: each node hands its neighbours the smallest one, so the
     number of edges never grows and a path shrinks to a star in a logarithmic number of rounds. Every
-    round is a partial aggregate and an equi-join that Spark can split where a node is hot, and is written
-    out. Null ends and loops are ignored.
+    round is a partial aggregate, written, and a join to that table, so that a hot node's edges are broadcast to or
+    split (see ``lookup``). Null ends and loops are ignored. The result is a written table.
     """
     pair = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     e = work.save(pair.where("a < b").distinct())
@@ -141,14 +134,16 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             e.select(F.col("b").alias("u"), F.col("a").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+        least = work.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = lookup(both.where("v > u"), least, "u").select(F.col("m").alias("a"), F.col("v").alias("b"))
         large = work.save(large.where("a < b").distinct())
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select("m", "a", "b")
+        down = work.save(large.groupBy("b").agg(F.min("a").alias("m")))
+        small = lookup(large, down, "b").select("m", "a", "b")
         small = small.select(F.explode(F.array("a", "b")).alias("b"), F.col("m").alias("a")).where("a < b")
         new = work.save(small.select("a", "b").distinct())
-        work.drop(e, large)
+        work.drop(e, least, large, down)
         e = new
     star = e.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    return star.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    found = work.save(star.unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct()))
+    work.drop(e)
+    return found

@@ -142,7 +142,7 @@ def near_vectors(
     counts = work.save(
         classes.select("c", "mult").join(counts, F.col("c") == F.col("a"), "left").select("c", F.expr("mult - 1 + coalesce(links, 0)").alias("n"))
     )
-    comp = work.save(connected_components(found.where("b is not null").select("a", "b"), work))
+    comp = connected_components(found.where("b is not null").select("a", "b"), work)
     rows = d.where("c is not null").select("id", "c").join(counts, "c").join(comp, F.col("c") == F.col("node"), "left")
     rows = work.save(rows.select("id", "n", F.coalesce("label", "c").alias("comp")))
     least = rows.groupBy("comp").agg(F.min("id").alias("least"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Workspace, connected_components, groups
+from .common import Workspace, connected_components, groups, lookup
 from .words import mix, shingle_set
 
 #: 80 permutations give 160 signature values (both ends of each); 40 bands of 4 miss a pair at
@@ -19,6 +19,8 @@ PERMUTATIONS, ROWS = 80, 4
 SEED = 20_240_501
 #: Members of one comparison block, and shingles in it.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+#: Members that one task holds against their centre.
+CHUNK = 1_000
 #: Ids that may be broadcast at once (16 MB); beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
@@ -88,12 +90,7 @@ def similar(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
 
 def _stars(percent: int):
     """Sorted runs of (centre, chunk): the centre's own row comes first, each member is held against it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _star_batches(batches, percent):
-            yield batch
-
-    return run
+    return lambda batches: _star_batches(batches, percent)
 
 
 def _star_batches(batches, percent):
@@ -189,29 +186,36 @@ def near_duplicates(
     group size. Rows without words, or with null text, have n_shingles 0 and are linked with nothing.
     Repeated rows are all returned and share their component. A null id never is the smallest one; kept
     compares null-safely, so an unlinked row of null id is kept. Other columns are ignored. An empty input
-    gives an empty result.
+    gives an empty result. Ids are numbers (as long), strings or bytes.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    d = work.save(src.mapInArrow(_digests(shingle_words), "id long, n long, c binary, keys array<long>"))
+    key = F.col(id_col)
+    kind = dict(docs.dtypes)[id_col]
+    if kind not in ("string", "binary"):
+        key, kind = key.cast("long"), "long"
+    src = docs.select(key.alias("id"), F.col(text_col).alias("t"))
+    d = work.save(src.mapInArrow(_digests(shingle_words), f"id {kind}, n long, c binary, keys array<long>"))
 
     classes = d.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    banded = classes.select("c", "n", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("c").alias("centre")).where("m > 1")
-    buckets = work.save(banded.join(shared, "key").select("key", "centre", "m", "c", "n"))
+    banded = work.save(classes.select("c", "n", F.explode("keys").alias("key")))
+    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("c", "n")).alias("centre")).where("m > 1")
+    shared = work.save(shared.select("key", "m", F.col("centre.c").alias("centre"), F.col("centre.n").alias("n0")))
+    buckets = work.save(lookup(banded, shared, "key").select("key", "centre", "n0", "m", "c", "n"))
+    work.drop(banded, shared)
 
     # Members far from the centre in size cannot reach the threshold with it.
-    sizes = buckets.where("c = centre").select("key", F.col("n").alias("n0"))
     near = f"100 * least(n, n0) >= {percent} * greatest(n, n0)"
-    pairs = buckets.where("c > centre").join(sizes, "key").where(near)
-    pairs = pairs.select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct()
-    chunked = work.save(pairs.withColumn("chunk", F.expr(f"pmod(xxhash64(b), {64})")))
+    pairs = work.save(buckets.where("c > centre").where(near).select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct())
+    large = work.save(pairs.groupBy("a").agg(F.count("*").alias("many")).where(F.col("many") > CHUNK))
+    chunk = F.expr(f"pmod(xxhash64(b), cast(ceil(coalesce(many, 1) / {CHUNK}) as int))")
+    chunked = work.save(lookup(pairs, large, "a", "left").select("a", "b", chunk.alias("chunk")))
+    work.drop(pairs, large)
 
     # Full sets of the classes that take part, from one row of each.
     wanted = buckets.select("c").distinct()
-    rows = d.join(wanted, "c").groupBy("c").agg(F.min("id").alias("id"))
-    rows = work.save(rows)
+    first_ids = d.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
+    rows = work.save(first_ids.join(wanted, "c"))
     ids = rows.select("id").where("id is not null").distinct()
     few = ids.count() <= BROADCAST_ROWS
     picked = src.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("t")
@@ -225,7 +229,7 @@ def near_duplicates(
     centres = centres.select("a", "chunk", F.lit(None).cast("binary").alias("b"), "s")
     stream = members.unionByName(centres).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
     links = work.save(stream.mapInArrow(_stars(percent), "a binary, b binary"))
-    first = work.save(connected_components(links, work))
+    first = connected_components(links, work)
 
     # Buckets that still hold more than one component; equal member lists in several bands count once.
     labelled = buckets.where("m > 2").join(first, F.col("c") == F.col("node"), "left")
@@ -236,23 +240,25 @@ def near_duplicates(
     )
     mixed = mixed.where("lo < hi").groupBy("mark", "mark2", "m").agg(F.min("key").alias("key"), F.first("total").alias("total"))
     mixed = mixed.select("key", F.expr(f"cast(ceil(greatest(m / {BLOCK}, total / {BLOCK_SHINGLES})) as int)").alias("parts"))
-    dealt = labelled.join(mixed, "key").withColumn("p", F.expr("cast(pmod(xxhash64(c, 3), parts) as int)"))
+    mixed = work.save(mixed)
+    dealt = lookup(labelled, mixed, "key").withColumn("p", F.expr("cast(pmod(xxhash64(c, 3), parts) as int)"))
     dealt = dealt.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "c", "label")
     full = dealt.join(sets, "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = work.save(full.select("key", "i", "j", "c", "label", "s").mapInArrow(_blocks(percent), "a binary, b binary"))
 
-    if more.isEmpty():
-        final = first
-    else:
+    final = first
+    if not more.isEmpty():
         star = first.select(F.col("label").alias("a"), F.col("node").alias("b"))
-        final = work.save(connected_components(star.unionByName(more), work))
-    labels = d.where("n > 0").select("id", "n", "c").join(final, F.col("c") == F.col("node"), "left")
-    labels = labels.select("id", "n", F.coalesce("label", "c").alias("label"))
-    least = labels.groupBy("label").agg(F.min("id").alias("least"))
-    out = labels.join(least, "label").select("id", "n", "least")
+        final = connected_components(star.unionByName(more), work)
+    # The smallest id of each component, by way of the classes: only then do rows move, once.
+    members = d.where("n > 0").groupBy("c").agg(F.min("id").alias("id"))
+    members = work.save(members.join(final, F.col("c") == F.col("node"), "left").select("c", "id", F.coalesce("label", "c").alias("label")))
+    least = work.save(members.groupBy("label").agg(F.min("id").alias("least")))
+    whose = work.save(lookup(members, least, "label").select("c", "least"))
+    out = lookup(d.where("n > 0").select("id", "n", "c"), whose, "c").select("id", "n", "least")
     out = out.unionByName(d.where("n = 0").select("id", "n", F.col("id").alias("least")))
-    work.drop(buckets, chunked, sets, rows, links, labelled, more)
+    work.drop(buckets, chunked, sets, rows, links, labelled, mixed, more, first, final, members, least)
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
