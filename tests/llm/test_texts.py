@@ -6,6 +6,7 @@ from hashlib import sha256
 
 import pytest
 from made import make_docs
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomlake.llm import bpe, store
@@ -78,6 +79,48 @@ def test_personal_data_base_rules(spark):
     assert personal_spans(make_docs(spark, [])).collect() == []
 
 
+def test_personal_data_model(spark):
+    """Scores are the trees', added spans what the thresholds select; held-out examples of known truth give the rates."""
+    import numpy as np
+
+    from loomlake.llm import pii
+
+    model = pii.trained()
+    made = pii.examples(400, seed=99)
+    rows = [(n, t) for n, t, *_ in made]
+    src = make_docs(spark, rows).select(F.col("doc_id").alias("id"), F.col("text").alias("t"))
+    found = pii.described(pii.candidates(src)).withColumn("score", model.score()).collect()
+    p = model.trees.predict(np.array([[r[f] for f in pii.FEATURES] for r in found]))
+    assert np.allclose(p, [r.score for r in found], atol=1e-12)
+    out = {r.doc_id: r for r in personal_spans(make_docs(spark, rows)).collect()}
+    for n, _ in rows:
+        mine = [(r.start, r.end, r.kind, q) for r, q in zip(found, p, strict=True) if int(r.i) == n]
+        added = {(a, b, k) for a, b, k, q in mine if q >= model.thresholds[k]}
+        base = {(s.start, s.end, s.kind) for s in out[n].base}
+        got = {(s.start, s.end, s.kind) for s in out[n].spans}
+        assert base <= got <= base | added
+        for a, b, k in (base | added) - got:  # only what lies inside a base span goes
+            assert any(c <= a and b <= d for c, d, _ in base)
+    caught = [(personal, any(s.start < b and a < s.end for s in out[n].spans)) for n, _, a, b, personal in made]
+    recall = sum(g for y, g in caught if y) / sum(y for y, _ in caught)
+    false = sum(g for y, g in caught if not y) / sum(not y for y, _ in caught)
+    assert recall > 0.95 and false < 0.1, (recall, false)
+    assert all(precision >= pii.PRECISION for _, n, precision, _ in model.held_out if n)
+
+
+def test_spans_depend_on_the_text_alone(spark):
+    rows = list(enumerate(PRIVATE))
+    whole = {r.doc_id: joined_spans(r) for r in personal_spans(make_docs(spark, rows)).collect()}
+    for i in (2, 4, 13):
+        (one,) = personal_spans(make_docs(spark, rows[i : i + 1])).collect()
+        assert joined_spans(one) == whole[i]
+    assert "secret:" in whole[4]
+
+
+def joined_spans(row):
+    return ",".join(f"{s.kind}:{s.start}:{s.end}" for s in row.spans)
+
+
 def test_redaction_merges_overlaps(spark):
     spans = [(0, 0, 3, "email", 1.0), (2, 1, 5, "ip", 1.0), (7, 2, 9, "card", 1.0)]
     df = spark.createDataFrame([("abcdefghij", spans), ("plain", []), (None, [])], "t string, s array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
@@ -138,8 +181,6 @@ def test_license_labels_are_exact(spark):
 
 
 def test_chain_is_the_longest_ascending_run(spark):
-    from pyspark.sql import functions as F
-
     from loomlake.llm.licenses import chain
 
     rnd = random.Random(11)
