@@ -5,7 +5,7 @@ import pytest
 from made import make_docs
 
 from loomlake.llm import quality
-from loomlake.llm.contamination import align, contaminated, plain_words
+from loomlake.llm.contamination import THRESHOLD, align, best_scores, contaminated, plain_words
 from loomlake.llm.urls import judge_urls
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -82,6 +82,9 @@ def test_alignment_against_the_plain_recurrence():
     for _ in range(60):
         a, b = (rnd.integers(0, 4, rnd.integers(1, 15)) for _ in range(2))
         assert align(a, b)[0] == plain_align(a, b)
+    pairs = [[rnd.integers(0, 5, rnd.integers(1, 30)) for _ in range(2)] for _ in range(700)]
+    assert best_scores(*map(list, zip(*pairs, strict=True))).tolist() == [align(a, b)[0] for a, b in pairs]
+    assert best_scores([], []).tolist() == []
     assert plain_words("Ab-Cé 1_2\n") == [b"ab", "cé".encode(), b"1", b"2"]
 
 
@@ -165,13 +168,33 @@ def test_copies_without_intact_grams_and_short_items(spark):
         for _ in range(6):
             edit = [rnd.choice([v, v, v, "z", "", v + " z"]) for v in w]
             rows.append((len(rows), " ".join(edit) + " q " + " ".join(rnd.choice(vocab) for _ in range(30))))
-    want = set()
-    for i, t in rows:
-        for n, item in items:
-            share = plain_align(item.split(), t.split()) / (2 * n)
-            if share >= (0.5 if n > 2 else 1):
-                want.add((i, n, share))
+    shares = {(i, n): plain_align(item.split(), t.split()) / (2 * n) for i, t in rows for n, item in items}
     bench = spark.createDataFrame([(*x, None) for x in items] + [(99, "!", None)], ITEMS)
-    got = contaminated(make_docs(spark, rows), bench).collect()
-    assert {(r.doc_id, r.item_id, r.score) for r in got} == want and len(got) == len(want)
-    assert {n for _, n, _ in want} == {n for n, _ in items}
+    for least in (THRESHOLD, 0.5, 0.7):
+        want = {(*k, share) for k, share in shares.items() if share >= (least if k[1] > 2 else 1)}
+        got = contaminated(make_docs(spark, rows), bench, threshold=least).collect()
+        assert {(r.doc_id, r.item_id, r.score) for r in got} == want and len(got) == len(want)
+        assert {n for _, n, _ in want} == {n for n, _ in items}
+
+
+def test_most_heavily_edited_copies_are_found(spark, monkeypatch):
+    """Copies of the given items with three in ten words replaced, in several blocks; untouched texts stay clean."""
+    from loomlake.llm import contamination
+
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", 700)
+    rnd = random.Random(12)
+    sf = "/root/testdata/sf0.01"
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 1500").orderBy("doc_id").limit(300).collect()]
+    clean = [t for t in texts if not any(x in t for _, x in items)]
+    rows = []
+    for n, (_, item) in enumerate(items * 5):
+        other = clean[n % len(clean)].split()
+        copy = [rnd.choice(other) if rnd.random() < 0.3 else w for w in item.split()]
+        rows.append((n, " ".join(other[:60] + copy + other[60:])))
+    rows += [(1000 + n, t) for n, t in enumerate(clean)] + [(5000, " ".join(clean * 3) + " " + items[0][1])]
+    bench = spark.createDataFrame([(*x, None) for x in items], ITEMS)
+    got = {(r.doc_id, r.item_id) for r in contaminated(make_docs(spark, rows), bench).collect()}
+    caught = sum((n, items[n % len(items)][0]) in got for n in range(len(items) * 5))
+    assert caught >= 0.85 * len(items) * 5
+    assert [x for x in got if x[0] >= 1000] == [(5000, items[0][0])]
