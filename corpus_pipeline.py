@@ -10,20 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlake.llm import bpe, quality
-from loomlake.llm.common import Workspace, table
+from loomlake.llm.common import LOOKUP_ROWS, Workspace, lookup, table
 from loomlake.llm.contamination import contaminated
-from loomlake.llm.minhash import BROADCAST_ROWS, near_duplicates
+from loomlake.llm.minhash import near_duplicates
 from loomlake.llm.pii import personal_spans, redacted
 from loomlake.llm.queries import WORD_BPE
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows with __key: a 128-bit digest of id and text (nulls have marks of their own), which tells rows apart."""
+    doc_id = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    text = F.when(F.col("text").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("text")))
+    return docs.select(*COLUMNS, F.unhex(F.md5(F.concat(doc_id, F.lit(":"), text))).alias("__key"))
+
+
 def _without(spark: SparkSession, docs: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows whose key is not among ``keys``: these are broadcast where their number allows, else joined by a shuffle."""
-    keys = Workspace(spark, "drop").save(keys.distinct())
-    few = keys.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(keys) if few else keys, key, "left_anti")
+    return lookup(docs, Workspace(spark, "drop").save(keys.distinct()), key, "left_anti")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,42 +47,54 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are told apart by id and text: of rows equal in both one stays, other rows of the same id are
     judged by their own texts. Rows without words stay.
     """
-    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
-    found = near_duplicates(keyed, id_col="__key").select("__key", "component_id")
-    found = Workspace(spark, "groups").save(found)
-    twice = found.groupBy("__key").count().where("count > 1").select("__key")
-    twice = Workspace(spark, "twice").save(twice)
+    keyed = _keyed(docs)
+    work = Workspace(spark, "groups")
+    found = work.save(near_duplicates(keyed, id_col="__key").select("__key", "component_id"))
+    twice = work.save(found.groupBy("__key").count().where("count > 1").select("__key"))
     members = found.where("__key <> component_id")
-    members = members.unionByName(members.select(F.col("component_id").alias("__key"), "component_id")).distinct()
+    members = work.save(members.unionByName(members.select(F.col("component_id").alias("__key"), "component_id")).distinct())
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key"))["__key"]
-    stay = members.join(keyed.select("__key", "doc_id"), "__key").groupBy("component_id").agg(first.alias("__key"))
+    stay = lookup(keyed.select("__key", "doc_id"), members, "__key").groupBy("component_id").agg(first.alias("__key"))
     kept = _without(spark, keyed, members.select("__key").join(stay.select("__key"), "__key", "left_anti"), "__key")
     if not twice.isEmpty():
-        kept = _without(spark, kept, twice, "__key").unionByName(kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+        row = F.min(F.struct(*COLUMNS)).alias("row")
+        once = lookup(kept, twice, "__key", "left_semi").groupBy("__key").agg(row).select("row.*", "__key")
+        kept = lookup(kept, twice, "__key", "left_anti").unionByName(once.select(*kept.columns))
     return kept.select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a copy of a benchmark item go; rows are told apart by id and text."""
-    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    """Documents that hold a copy of a benchmark item go; rows are told apart by id and text.
+
+    Rows of null or empty text hold nothing and stay; repeated rows go or stay together.
+    """
+    keyed = _keyed(docs)
     found = contaminated(keyed, table(spark, sf_dir, "benchmark"), id_col="__key")
     return _without(spark, keyed, found.select("__key"), "__key").select(*COLUMNS)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind in brackets; n_chars is the new text's length."""
-    keyed = docs.select(*COLUMNS).withColumn("__key", F.xxhash64("doc_id", "text"))
+    """Spans of personal data are replaced by their kind in brackets; n_chars is the new text's length.
+
+    Rows without spans, of null or empty text among them, stay as they are, n_chars too; repeated rows are redacted
+    alike. Where the spans are few they are broadcast to the texts, so these do not move.
+    """
+    keyed = _keyed(docs)
     found = personal_spans(keyed, id_col="__key").where(F.size("spans") > 0).select("__key", "spans").dropDuplicates(["__key"])
     found = Workspace(spark, "spans").save(found.withColumnRenamed("spans", "__spans"))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
+    few = (found.agg(F.sum(F.size("__spans"))).first()[0] or 0) <= LOOKUP_ROWS
+    none = F.array().cast(found.schema["__spans"].dataType)
     text = redacted(F.col("text"), F.coalesce("__spans", none))
-    out = keyed.join(found, "__key", "left").withColumn("text", text)
+    out = keyed.join(F.broadcast(found) if few else found, "__key", "left").withColumn("text", text)
     return out.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the hash of the decoded text of each row."""
-    out = bpe.decode(bpe.encode(docs.select("doc_id", "text"), WORD_BPE), WORD_BPE)
+    """doc_id, n_tokens, ids and the hash of the decoded text of each row.
+
+    Null and empty texts have no ids and the hash of the empty text; repeated rows are returned each.
+    """
+    out = bpe.encode(docs.select("doc_id", "text"), WORD_BPE, decoded=True)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
