@@ -21,10 +21,6 @@ def leaky_relu(x: Column, slope: float = 0.2) -> Column:
     return F.when(x > 0, x).otherwise(F.lit(slope) * x)
 
 
-def each(vector: Column, f) -> Column:
-    return F.transform(vector, f)
-
-
 def zeros(width: int) -> Column:
     return F.array_repeat(F.lit(0.0), width)
 
@@ -51,6 +47,13 @@ def product(vector: Column, weights: Sequence[Sequence[float]]) -> Column:
     return F.transform(F.array(*map(literal, columns)), lambda w: dot(vector, w))
 
 
+def dropout(vector: Column, rate: float) -> Column:
+    """The vector itself: inference drops nothing, whatever the rate."""
+    if not 0 <= rate < 1:
+        raise ValueError("a dropout rate lies in [0, 1)")
+    return vector
+
+
 def pack(columns: Sequence[str], arrays: bool) -> Column:
     """One vector of feature segments: lists are concatenated, scalar columns are collected in order."""
     if arrays:

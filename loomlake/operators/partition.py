@@ -101,6 +101,13 @@ def count_targets(content: DataFrame, targets: DataFrame, column: str) -> DataFr
     return targets.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def count_in_space(content: DataFrame, targets: DataFrame, column: str, space: int) -> DataFrame:
+    """(id, n) for every id from 0 to space - 1: how often it occurs in a column if it is a target, else 0."""
+    n = count_targets(content, targets, column).withColumnRenamed("n", "__n")
+    ids = content.sparkSession.range(space)
+    return ids.join(n, "id", "left").select("id", F.coalesce("__n", F.lit(0)).alias("n"))
+
+
 def require_rows(df: DataFrame, what: str) -> DataFrame:
     """``df``, or an error if it is empty."""
     if df.isEmpty():

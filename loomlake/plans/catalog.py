@@ -8,16 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions import weights as W
 from ..operators import features as R
+from ..operators import generation as N
 from ..operators import layers as L
 from ..operators import partition as P
 from ..operators import schedule as H
+from ..operators.numbering import numbered_in_order, sorted_with_positions
 from ..operators.sampling import sample_in_edges
 from ..sources import graph_files as S
 from ..sources.scratch import shared_folder, written
+from . import export as X
 from . import graphs as G
 from .graphs import FANOUT, PARTS, WIDTH, bias_sql, binned_sql, sampled_sql, table, weight_sql, with_ctes
+from .loader import BatchLoader
 from .models import GAT, GCN, SAGE, GraphData, Layer
+from .timing import Timings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,7 +90,7 @@ def edge_ids(spark, d):
 def export_chunks(spark, d):
     """Edges written in four contiguous chunks and read back."""
     path = f"{shared_folder(spark)}/chunks-{abs(hash(d))}"
-    S.write_chunks(G.supply_edges(spark, d).select("src", "dst"), path, 4, "dst")
+    S.write_chunks(G.supply_edges(spark, d).select("src", "dst"), path, 4, ["dst", "src"])
     return S.read_edges(spark, path).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -96,6 +102,89 @@ def export_features(spark, d):
     return long(S.read_features(spark, path, "id"), "id")
 
 
+def chunked(spark, d, name: str, chunks: int) -> tuple[str, list[str]]:
+    path = f"{shared_folder(spark)}/{name}-{abs(hash(d))}"
+    return path, S.write_chunks(G.supply_edges(spark, d).select("src", "dst"), path, chunks, ["dst", "src"])
+
+
+_CHUNK = "c as (select *, least(r // (n // {0}), {0} - 1) as chunk from (select src, dst, row_number() over (order by dst, src) - 1 as r, count(*) over () as n from edges))"
+
+
+@query(with_ctes(["edges"], "select 'edge_list_' || chunk::int || '.parquet' as file, count(*) as n, min(dst) as first_dst, max(dst) as last_dst from c group by all", [_CHUNK.format(7)]))
+def export_chunk_sizes(spark, d):
+    """Chunk files hold n // 7 rows each, the last one the remainder too."""
+    _, paths = chunked(spark, d, "sizes", 7)
+    rows = spark.read.parquet(*paths).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "dst")
+    return rows.groupBy("file").agg(F.count("*").alias("n"), F.min("dst").alias("first_dst"), F.max("dst").alias("last_dst"))
+
+
+@query(with_ctes(["edges"], "select count(*) as n, min(dst) as first_dst, max(dst) as last_dst from c where chunk in (3, 4)", [_CHUNK.format(7)]))
+def chunk_discovery(spark, d):
+    """The second of three parts reads the chunk files 3 and 4 of 7."""
+    path, _ = chunked(spark, d, "discovery", 7)
+    e = S.read_edges(spark, S.chunk_files(f"{path}/edge_list", 7, part=1, parts=3))
+    return e.agg(F.count("*").alias("n"), F.min("dst").alias("first_dst"), F.max("dst").alias("last_dst"))
+
+
+@query(with_ctes(["edges", "feats"], "select (select count(*) from edges) as edges, (select count(distinct id) from feats) as nodes, 3 as edge_files, 2 as feature_files"))
+def export_entry(spark, d):
+    """The export's entry point on an edge table and a node table."""
+    path = f"{shared_folder(spark)}/entry-{abs(hash(d))}"
+    G.supply_edges(spark, d).select("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
+    G.supply_features(spark, d).select("id", F.col("x").alias("feat0")).write.mode("overwrite").parquet(f"{path}/nodes")
+    edges, feats = X.export(spark, f"{path}/edges", f"{path}/nodes", 3, 2, f"{path}/out")
+    e, f = spark.read.parquet(*edges).agg(F.count("*").alias("edges")), S.read_features(spark, feats, "id").agg(F.count("*").alias("nodes"))
+    return e.join(F.broadcast(f)).withColumns({"edge_files": F.lit(len(edges)), "feature_files": F.lit(len(feats))})  # one row each
+
+
+@query(with_ctes(["feats"], f"select id, (k - 2)::int as k, {binned_sql('v')} as v from feats where k >= 2"))
+def feature_share(spark, d):
+    """The second half of the feature columns; the first is not read."""
+    path = f"{shared_folder(spark)}/share-{abs(hash(d))}"
+    S.write_features(G.supply_features(spark, d), path, WIDTH, 2)
+    return long(S.read_features(spark, path, "id", part=1, parts=2), "id")
+
+
+@query(with_ctes(["feats"], "select count(distinct k)::bigint as width from feats"))
+def total_width(spark, d):
+    """Widths of three shares of the feature columns, summed."""
+    path = f"{shared_folder(spark)}/width-{abs(hash(d))}"
+    S.write_features(G.supply_features(spark, d), path, WIDTH, 2)
+    parts = [S.read_features(spark, path, "id", part=i, parts=3).agg(F.max(F.size("x")).alias("n")) for i in range(3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).agg(F.sum("n").alias("width"))
+
+
+@query("select * from (values (0, 'scan', 'gcn'), (1, 'count', 'gcn')) t(position, stage, model)")
+def timing_table(spark, d):
+    """Stages timed in order; their seconds differ from run to run and are left out."""
+    t = Timings(model="gcn")
+    with t("scan"):
+        e = G.supply_edges(spark, d)
+    with t("count"):
+        e.count()
+    return t.table(spark).drop("seconds")
+
+
+@query("select count(*) as n, count(*) as in_order from lineitem")
+def edge_id_order(spark, d):
+    """Sorted by edge id, each edge is at the place that its id says."""
+    e = S.read_edges_with_ids(spark, f"{d}/lineitem.parquet", "l_suppkey", "l_partkey")
+    e = numbered_in_order(e, ["eid"])
+    return e.agg(F.count("*").alias("n"), F.count_if(F.col("position") == F.col("eid")).alias("in_order"))
+
+
+@query(with_ctes(["nodes"], "select md5(id::varchar) as value, id as position from nodes"))
+def sort_with_positions(spark, d):
+    """Values in order with the places they had."""
+    n = G.supply_nodes(spark, d)
+    return sorted_with_positions(n.select(F.md5(F.col("id").cast("string")).alias("v"), F.col("id").alias("position")), "v")
+
+
+@query(with_ctes(["edges"], "select src, dst, dup, row_number() over (order by src, dst, dup) - 1 as position from edges"))
+def sort_by_source(spark, d):
+    return numbered_in_order(G.supply_edges(spark, d), ["src", "dst", "dup"]).select("src", "dst", "dup", "position")
+
+
 # -- partitioning ---------------------------------------------------------------------------------------
 
 
@@ -140,9 +229,10 @@ def halo_nodes(spark, d):
     return P.halo_nodes(G.supply_edges(spark, d), inner(spark, d))
 
 
-@query(with_ctes(["nodes", "edges2"], "select id from nodes where id not in (select src from edges2 union select dst from edges2)"))
+@query(with_ctes(["nodes", "edges", "placed"], "select id from nodes where id not in (select src from e union select dst from e)", [_INNER, "e as (select src, dst from edges where dst in (select id from inner_))"]))
 def isolated_nodes(spark, d):
-    return P.isolated_nodes(G.supply_nodes(spark, d), G.supply2_edges(spark, d))
+    """Nodes that no in-edge of part 0 touches."""
+    return P.isolated_nodes(G.supply_nodes(spark, d), P.in_edges(G.supply_edges(spark, d), inner(spark, d)))
 
 
 @query(with_ctes(["edges", "placed"], "select src, dst, dup, a.gid as src_gid, b.gid as dst_gid from edges join placed a on a.id = src join placed b on b.id = dst"))
@@ -210,8 +300,8 @@ def graph_totals(spark, d):
 
 
 @query(
-    "select l_orderkey as id, unnest(range(8)) as k, coalesce(l[unnest(range(8)) + 1], case when unnest(range(8)) = 7 then len(l)::double else 0 end) as v "
-    "from (select l_orderkey, list(l_quantity order by l_quantity)[1:7] as l from lineitem group by l_orderkey)"
+    "with l as (select l_orderkey, list(l_quantity order by l_quantity) as l from lineitem group by l_orderkey), w as (select max(len(l)) as w from l) "
+    "select l_orderkey as id, k::int as k, case when k = w then len(l)::double else coalesce(l[k + 1], 0) end as v from l, w, (select unnest(range((select w + 1 from w))) as k)"
 )
 def pad_vectors(spark, d):
     """Ragged lists (the sorted quantities of an order) filled up to the longest one's width, their length behind."""
@@ -220,6 +310,50 @@ def pad_vectors(spark, d):
     return lists.select(F.col("l_orderkey").alias("id"), F.posexplode(V.padded(F.col("x"), width)).alias("k", "v"))
 
 
+@query(with_ctes(["edges2", "nodes"], "select id, case when id in (select id from nodes where id % 3 <> 1) then coalesce(c.n, 0) else 0 end as n from (select unnest(range((select max(id) + 6 from nodes))) as id) left join (select src, count(*) as n from edges2 group by all) c on c.src = id"))
+def count_in_space(spark, d):
+    """Counts of every id of a space; those that are no targets have 0."""
+    n = G.supply_nodes(spark, d)
+    space = n.agg(F.max("id")).first()[0] + 6
+    return P.count_in_space(G.supply2_edges(spark, d), n.where("id % 3 <> 1"), "src", space)
+
+
+def generated(spark, d, out_edges: bool = False) -> N.Graph:
+    edges = G.supply_edges(spark, d)
+    eid = F.xxhash64("src", "dst", "dup")
+    return N.generate_graph(G.supply_nodes(spark, d), N.Table(edges.select(eid.alias("eid"), "src", "dst", "dup")), PARTS, include_out_edge=out_edges)
+
+
+_OWNED = "select {} as owner, src, dst, dup, a.gid as src_gid, b.gid as dst_gid, a.part_id as src_part, b.part_id as dst_part from edges join placed a on a.id = src join placed b on b.id = dst"
+_OWNED_OUT = f"{_OWNED.format('b.part_id')} union all {_OWNED.format('a.part_id')} where a.part_id <> b.part_id"
+
+
+@query(with_ctes(["edges", "placed"], _OWNED.format("b.part_id")))
+def generate_graph(spark, d):
+    """Edges laid out by the part of their target, with both ends' positions and parts."""
+    return generated(spark, d).edges.select("owner", "src", "dst", "dup", "src_gid", "dst_gid", "src_part", "dst_part")
+
+
+@query(with_ctes(["edges", "placed"], _OWNED_OUT))
+def generate_graph_out_edges(spark, d):
+    """Parts also keep the edges that leave them."""
+    return generated(spark, d, True).edges.select("owner", "src", "dst", "dup", "src_gid", "dst_gid", "src_part", "dst_part")
+
+
+_LOCAL = "l as (select dst_part as owner, src as id from parted union select dst_part, dst from parted union select part_id, id from placed)"
+
+
+@query(with_ctes(["parted"], "select owner, id, gid, part_id, owner = part_id as inner_node from l join placed using (id)", [_LOCAL]))
+def generate_graph_nodes(spark, d):
+    return generated(spark, d).local_nodes.select("owner", "id", "gid", "part_id", "inner_node")
+
+
+@query(with_ctes(["parted", "feats"], f"select owner, id, owner = part_id as inner_node, k::int as k, {binned_sql('v')} as v from l join placed using (id) join feats using (id)", [_LOCAL]))
+def halo_features(spark, d):
+    """Vectors of all nodes that a part knows."""
+    return long(N.halo_features(generated(spark, d), G.supply_features(spark, d)), "owner", "id", "inner_node")
+
+
 # -- features -------------------------------------------------------------------------------------------
 
 _OWN = with_ctes(["feats", "placed"], f"select id, k::int as k, {binned_sql('v')} as v from feats where id in (select id from inner_)", [_INNER])
@@ -235,6 +369,13 @@ def feature_redistribute_broadcast(spark, d):
     return long(R.scan_through(G.supply_features(spark, d), inner(spark, d)), "id")
 
 
+@query(_OWN)
+def feature_checked(spark, d):
+    """The same behind guards: an error if there are no targets, or one without features."""
+    own = P.require_rows(inner(spark, d), "targets")
+    return long(R.checked(G.supply_features(spark, d), own), "id")
+
+
 @query(with_ctes(["vec"], "select count(distinct id) as nodes, count(*) as n from vec"))
 def feature_scan_only(spark, d):
     f = G.vec_features(spark, d)
@@ -350,6 +491,45 @@ _activation("elu_act", V.elu, "case when v > 0 then v else exp(v) - 1 end")
 _activation("leaky_relu_act", V.leaky_relu, "case when v > 0 then v else 0.2::double * v end")
 
 
+@query(with_ctes(["vec"], f"select id, k::int as k, {binned_sql('v')} as v from vec"))
+def dropout_act(spark, d):
+    """Inference drops nothing."""
+    return long(G.vec_features(spark, d).select("id", V.dropout(F.col("x"), 0.6).alias("x")), "id")
+
+
+@query(final_sql(matmul_sql("wide", "128", 128, bias=True), ["wide"]))
+def dense_matmul_wide(spark, d):
+    """128 x 128 weights: one matrix product a batch."""
+    return long(L.linear(G.wide_features(spark, d), G.weights(128, 128), G.bias(128)), "id")
+
+
+@query(final_sql(matmul_sql("vec", "64", 8, bias=True), ["vec"]))
+def linear_loaded(spark, d):
+    """Weights of an existing dense layer (out x in), saved as a table and loaded."""
+    given = W.Linear.of(list(zip(*G.weights(64, 8), strict=True)), G.bias(8))
+    path = f"{shared_folder(spark)}/weights-{abs(hash(d))}"
+    W.save(spark, {"weights": given.weights, "bias": given.bias}, path)
+    found = W.load(spark.read.parquet(path))
+    return long(L.linear(G.vec_features(spark, d), found["weights"], found["bias"]), "id")
+
+
+@query(with_ctes(["wide", "vedges"], f"select dst as id, k::int as k, {binned_sql('sum(v)')} as v from (select s.dst, f.k, f.v from s0 s join wide f on f.id = s.src) group by dst, k", [sampled_sql("s0", "vedges", 0, 10)]))
+def spmm_sum_wide(spark, d):
+    """Sums of 128-wide vectors."""
+    e = sample_in_edges(G.vec_edges(spark, d), 10)
+    targets = e.select(F.col("dst").alias("id")).distinct()
+    return long(L.spmm(e, G.wide_features(spark, d), targets, 128), "id")
+
+
+@query(final_sql(f"select m.id, m.k, m.v from ({spmm_sql('edges', 'sum(f.v) / count(*)')}) m", ["edges", "feats", "nodes"]))
+def embedding_sink(spark, d):
+    """Vectors of all nodes written as the last step of inference, and read again."""
+    e, f, n = supply(spark, d)
+    path = f"{shared_folder(spark)}/embeddings-{abs(hash(d))}"
+    S.write_embeddings(L.spmm_mean(e, f, n, WIDTH), path)
+    return long(spark.read.parquet(path), "id")
+
+
 # -- graph convolution ----------------------------------------------------------------------------------
 
 
@@ -374,6 +554,29 @@ for _norm in ("none", "right", "left", "both"):
     _gcn(_norm)
 
 
+_IN = "ind as (select dst as id, count(*)::double as n from edges2 group by all)"
+
+
+@query(final_sql("select s.id, s.k, s.v / coalesce(i.n, 1) as v from s left join ind i on i.id = s.id", ["edges2", "feats", "nodes"], [_IN, f"s as ({spmm_sql('edges2')})"]))
+def gcn_weightless(spark, d):
+    """A convolution without weights, bias or activation."""
+    e, f, n = G.supply2_edges(spark, d), G.supply_features(spark, d), G.supply_nodes(spark, d)
+    return long(L.graph_conv(written(e), f, n, None, norm="right", width=WIDTH), "id")
+
+
+@query(
+    final_sql(
+        f"select y.id, y.k, greatest(y.v / coalesce(i.n, 1) + {bias_sql('y.k')}, 0.0) as v from y left join ind i on i.id = y.id", ["edges2", "feats", "nodes"],
+        [_IN, f"s as ({spmm_sql('edges2', 'sum(f.v * ((e.src + e.dst) % 5 - 2))')})", f"y as ({matmul_sql('s', '4', 3)})"],
+    )
+)
+def gcn_edge_weights(spark, d):
+    """Messages multiplied by a weight of their edge."""
+    e, f, n = G.supply2_edges(spark, d), G.supply_features(spark, d), G.supply_nodes(spark, d)
+    e = written(e.withColumn("w", ((F.col("src") + F.col("dst")) % 5 - 2).cast("double")))
+    return long(L.graph_conv(e, f, n, G.weights(WIDTH, 3), G.bias(3), "right", V.relu, "w"), "id")
+
+
 def gcn_layer_sql(i: int, x: str, ins: int, outs: int) -> list[str]:
     return [
         sampled_sql(f"s{i}", "edges2", i),
@@ -393,6 +596,29 @@ def gcn_2layer_sampled(spark, d):
     return long(GCN(layers, FANOUT).infer(supply2(spark, d)), "id")
 
 
+_BUILT = GCN.build(2, WIDTH, 5, 3, norm="right", seed=7, fanout=FANOUT)
+
+
+def built_sql() -> str:
+    """The model's weights as a table, since they are random."""
+    rows = ", ".join(f"({i}, {k}, {m}, {w!r}::double)" for i, layer in enumerate(_BUILT.layers) for k, ws in enumerate(layer.weights) for m, w in enumerate(ws))
+    ctes, x = [f"w(layer, k, m, w) as (values {rows})"], "feats"
+    for i, ins in enumerate((WIDTH, 5)):
+        ctes += [
+            sampled_sql(f"s{i}", "edges2", i), f"a{i} as ({spmm_sql(f's{i}', feats=x, dims=ins)})",
+            f"y{i} as (select a.id, w.m as k, sum(a.v * w.w) as v from a{i} a join w on w.layer = {i} and w.k = a.k group by all)",
+            f"x{i} as (select y.id, y.k, greatest(y.v / coalesce(c.n, 1), 0.0) as v from y{i} y left join (select dst, count(*)::double as n from s{i} group by all) c on c.dst = y.id)",
+        ]
+        x = f"x{i}"
+    return final_sql("select * from x1", ["edges2", "feats", "nodes"], ctes)
+
+
+@query(built_sql())
+def gcn_built(spark, d):
+    """A model from its constructor: widths 4, 5 and 3, uniform weights of a seed, no bias at first."""
+    return long(_BUILT.infer(supply2(spark, d)), "id")
+
+
 # -- graph attention ------------------------------------------------------------------------------------
 
 HEADS, SIZE = 2, 3
@@ -535,6 +761,18 @@ def sage_pool(spark, d):
     return long(L.sage_pool(e, f, n, G.weights(WIDTH, WIDTH, 3), G.bias(WIDTH, 3), G.weights(WIDTH, 2, 10), G.weights(WIDTH, 2)), "id")
 
 
+@query(
+    final_sql(
+        f"select y.id, y.k, y.v from ({matmul_sql('h', '4', 2, bias=True)}) y", ["edges2", "feats", "nodes"],
+        [_IN, f"s as ({spmm_sql('edges2')})", "h as (select s.id, s.k, (s.v + coalesce(f.v, 0)) / (coalesce(i.n, 0) + 1) as v from s left join feats f on f.id = s.id and f.k = s.k left join ind i on i.id = s.id)"],
+    )
+)
+def sage_gcn(spark, d):
+    """Mean aggregation with the node among its neighbours."""
+    e, f, n = written(G.supply2_edges(spark, d)), G.supply_features(spark, d), G.supply_nodes(spark, d)
+    return long(L.sage_gcn(e, f, n, G.weights(WIDTH, 2), G.bias(2)), "id")
+
+
 # -- schedules ------------------------------------------------------------------------------------------
 
 BATCH = 1000
@@ -572,6 +810,96 @@ def batch_pair(spark, d):
     return H.pair_round(parted(spark, d), PARTS).select("src", "dst", "dup", "round")
 
 
+_SPLIT = "(case when r < n % b * (n // b + 1) then r // (n // b + 1) else n % b + (r - n % b * (n // b + 1)) // (n // b) end)::bigint"
+
+
+def in_step_sql(rounds: str, order: str) -> str:
+    """Batches of each part and round; all parts have as many in a round as the one with the fewest."""
+    return (
+        f"select src, dst, dup, dst_part, round, {_SPLIT} as batch_id from (select p.*, row_number() over (partition by dst_part, round order by {order}) - 1 as r, "
+        f"count(*) over (partition by dst_part, round) as n, b from (select *, {rounds} as round from parted) p join (select round, min(b) as b from "
+        f"(select dst_part, {rounds} as round, ceil(count(*) / {BATCH}.0)::bigint as b from parted group by all) group by all) using (round))"
+    )
+
+
+_STEP, _RING, _PAIR = "0", "((dst_part - src_part + 3) % 4)::int", "(case when src_part = dst_part then 3 else xor(src_part, dst_part) - 1 end)::int"
+
+
+@query(with_ctes(["parted"], f"select dst_part, count(*) as edges, min(ceil(count(*) / {BATCH}.0)::bigint) over () as batches from parted group by all"))
+def batch_counts(spark, d):
+    """Batches of each part, as many as the part with the fewest has."""
+    return H.batch_counts(parted(spark, d), BATCH, ["dst_part"], shared=[])
+
+
+@query(with_ctes(["parted"], f"select * exclude (round) from ({in_step_sql(_STEP, 'dst, src, dup')})"))
+def batch_in_step(spark, d):
+    return H.in_step(parted(spark, d), BATCH).select("src", "dst", "dup", "dst_part", "batch_id")
+
+
+@query(with_ctes(["parted"], f"select * exclude (round) from ({in_step_sql(_STEP, 'src, dst, dup')})"))
+def batch_in_step_src_sorted(spark, d):
+    return H.in_step(parted(spark, d), BATCH, sort_by_source=True).select("src", "dst", "dup", "dst_part", "batch_id")
+
+
+@query(with_ctes(["parted"], in_step_sql(_RING, "src, dst, dup")))
+def batch_ring_rounds(spark, d):
+    """Source-sorted batches within each ring round."""
+    return H.round_batches(H.ring_round(parted(spark, d), PARTS), BATCH).select("src", "dst", "dup", "dst_part", "round", "batch_id")
+
+
+@query(with_ctes(["parted"], in_step_sql(_PAIR, "src, dst, dup")))
+def batch_pair_rounds(spark, d):
+    """Source-sorted batches within each round of the tournament."""
+    return H.round_batches(H.pair_round(parted(spark, d), PARTS), BATCH).select("src", "dst", "dup", "dst_part", "round", "batch_id")
+
+
+_BATCHES = f"b as ({batch_sql('src, dst, dup')})"
+_BATCH_NODES = "bn as (select dst_part, batch_id, id, row_number() over (partition by dst_part, batch_id order by id) - 1 as local from (select dst_part, batch_id, src as id from b union select dst_part, batch_id, dst from b))"
+
+
+@query(with_ctes(["parted"], "select dst_part, batch_id, local::int as local, id, gid, part_id, part_id = dst_part as inner_node from bn join placed using (id)", [_BATCHES, _BATCH_NODES]))
+def batch_graph_nodes(spark, d):
+    """Nodes of each batch's own graph."""
+    return H.batch_nodes(H.by_source(parted(spark, d), BATCH), placed(spark, d))
+
+
+@query(
+    with_ctes(
+        ["parted"], "select b.dst_part, b.batch_id, src, dst, dup, s.local::int as src_local, t.local::int as dst_local from b join bn s on s.dst_part = b.dst_part and s.batch_id = b.batch_id and s.id = src "
+        "join bn t on t.dst_part = b.dst_part and t.batch_id = b.batch_id and t.id = dst", [_BATCHES, _BATCH_NODES],
+    )
+)
+def batch_graph_edges(spark, d):
+    b = written(H.by_source(parted(spark, d), BATCH))
+    return H.batch_edges(b, H.batch_nodes(b, placed(spark, d))).select("dst_part", "batch_id", "src", "dst", "dup", "src_local", "dst_local")
+
+
+@query(
+    with_ctes(
+        ["parted", "feats"], f"select dst_part, batch_id, id, k::int as k, {binned_sql('v')} as v from (select distinct b.dst_part, b.batch_id, b.src as id from b join placed p on p.id = b.src where p.part_id <> b.dst_part) join feats using (id)",
+        [_BATCHES],
+    )
+)
+def batch_halo_features(spark, d):
+    """Vectors that each batch fetches from other parts."""
+    return long(H.batch_features(H.by_source(parted(spark, d), BATCH), G.supply_features(spark, d)), "dst_part", "batch_id", "id")
+
+
+def loader_sql() -> str:
+    hops = []
+    for i in range(2):
+        hops.append(in_step_sql(_RING, "src, dst, dup").replace("parted", f"p{i}").replace("select src,", f"select {i} as layer, src,", 1))
+    return with_ctes(["parted"], " union all ".join(hops), [sampled_sql("p0", "parted", 0).replace("select src, dst, dup from", "select src, dst, dup, src_part, dst_part from"), sampled_sql("p1", "parted", 1).replace("select src, dst, dup from", "select src, dst, dup, src_part, dst_part from")])
+
+
+@query(loader_sql())
+def loader_hops(spark, d):
+    """The batches of two hops of a loader with ring rounds."""
+    loader = BatchLoader(parted(spark, d), placed(spark, d), [FANOUT, FANOUT], BATCH, PARTS, "ring")
+    hops = [loader.hop(i).select("layer", "src", "dst", "dup", "dst_part", "round", "batch_id") for i in range(2)]
+    return hops[0].unionByName(hops[1])
+
+
 @query(
     with_ctes(
         ["parted"], "select dst_part, batch_id, count(distinct src) as nodes from (select b.*, p.part_id as src_part from b join placed p on p.id = b.src) where src_part <> dst_part group by all",

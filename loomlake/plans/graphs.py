@@ -29,12 +29,11 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply2_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct edges both ways, each over a share of the parts, for models of several layers."""
+    """Distinct pairs as edges both ways, for models of several layers."""
     n = table(spark, sf_dir, "part").count()
     li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
-    down = li.where("l_partkey % 5 <> 0").select((F.col("l_suppkey") + n).alias("src"), F.col("l_partkey").alias("dst"))
-    up = li.where("l_partkey % 3 = 0").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + n).alias("dst"))
-    return down.unionByName(up).withColumn("dup", F.lit(0))
+    ends = F.array(F.struct((F.col("l_suppkey") + n).alias("src"), F.col("l_partkey").alias("dst")), F.struct(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + n).alias("dst")))
+    return li.select(F.explode(ends).alias("e")).select("e.src", "e.dst", F.lit(0).alias("dup"))
 
 
 def supply_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +54,11 @@ def vec_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
+def wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors, and half of each component behind them."""
+    return vec_features(spark, sf_dir).select("id", F.concat("x", F.transform("x", lambda v: v / 2)).alias("x"))
+
+
 def vec_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").count()
     li = table(spark, sf_dir, "lineitem")
@@ -83,8 +87,8 @@ CTES = {
     "nodes": "nodes as (select p_partkey as id from part union all select s_suppkey + n from supplier, np)",
     "edges": "edges as (select l_suppkey + n as src, l_partkey as dst, (row_number() over (partition by l_suppkey, l_partkey) - 1)::int as dup from lineitem, np)",
     "edges2": (
-        "edges2 as (select distinct l_suppkey + n as src, l_partkey as dst, 0 as dup from lineitem, np where l_partkey % 5 <> 0 "
-        "union all select distinct l_partkey, l_suppkey + n, 0 from lineitem, np where l_partkey % 3 = 0)"
+        "edges2 as (select distinct l_suppkey + n as src, l_partkey as dst, 0 as dup from lineitem, np "
+        "union all select distinct l_partkey, l_suppkey + n, 0 from lineitem, np)"
     ),
     "feats": (
         "feats as (select p_partkey as id, unnest([0, 1, 2, 3]) as k, unnest([p_size / 8.0::double, (p_partkey % 7) / 4.0::double, (p_size % 5 - 2) / 2.0::double, 1.0::double]) as v from part "
@@ -96,11 +100,12 @@ CTES = {
     ),
     "parted": "parted as (select e.*, a.part_id as src_part, b.part_id as dst_part from edges e join placed a on e.src = a.id join placed b on e.dst = b.id)",
     "vec": "vec as (select vec_id as id, unnest(range(len(embedding))) as k, unnest(embedding)::double as v from embeddings)",
+    "wide": "wide as (select id, k, v from vec union all select id, k + 64, v / 2 from vec)",
     "vedges": "vedges as (select distinct l_orderkey % n as src, l_partkey % n as dst, 0 as dup from lineitem, (select count(*)::bigint as n from embeddings))",
 }
 NEEDS = {
     "nodes": ["np"], "edges": ["np"], "edges2": ["np"], "feats": ["np"], "placed0": ["nodes"], "placed": ["placed0"],
-    "parted": ["edges", "placed"],
+    "parted": ["edges", "placed"], "wide": ["vec"],
 }
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import pack
+from ..operators.numbering import numbered_in_order
+from .scratch import moved_file, remove, remove_all
 
 
 def read_edges(spark: SparkSession, paths: str | list[str], src_col: str = "src", dst_col: str = "dst") -> DataFrame:
@@ -51,9 +55,8 @@ def column_slice(columns: list[str], part: int, parts: int) -> list[str]:
     """The contiguous, balanced share ``part`` of ``parts``; the first shares get one more."""
     if parts > len(columns):
         raise ValueError(f"{parts} feature partitions need as many columns; there are {len(columns)}")
-    q, r = divmod(len(columns), parts)
-    begin = part * q + min(part, r)
-    return columns[begin : begin + q + (part < r)]
+    begin, end = balanced_range(len(columns), part, parts)
+    return columns[begin:end]
 
 
 def read_features(
@@ -65,15 +68,44 @@ def read_features(
     return df.select(F.col(id_col).cast("long").alias("id"), pack(column_slice(names, part, parts), arrays).alias("x"))
 
 
-def write_chunks(df: DataFrame, path: str, chunks: int, order_col: str) -> None:
-    """``chunks`` contiguous files in order of ``order_col``."""
-    df.repartitionByRange(chunks, order_col).sortWithinPartitions(order_col).write.mode("overwrite").parquet(path)
+def chunk_files(base: str, count: int, split: bool = False, part: int = 0, parts: int = 1) -> list[str]:
+    """Names ``{base}_{i}.parquet`` (``{base}_{i}_split.parquet``) of the contiguous, balanced share of ``count`` files that
+    belongs to ``part``; an extension of ``base`` is left out."""
+    begin, end = balanced_range(count, part, parts)
+    base = base.removesuffix(".parquet")
+    return [f"{base}_{i}{'_split' if split else ''}.parquet" for i in range(begin, end)]
 
 
-def write_features(features: DataFrame, path: str, width: int, chunks: int) -> None:
-    """Export layout: ID and one scalar column for each dimension."""
+def balanced_range(n: int, part: int, parts: int) -> tuple[int, int]:
+    q, r = divmod(n, parts)
+    begin = part * q + min(part, r)
+    return begin, begin + q + (part < r)
+
+
+def write_chunks(df: DataFrame, path: str, chunks: int, order: str | list[str], name: str = "edge_list_{}.parquet") -> list[str]:
+    """``chunks`` files of exactly n // chunks rows in order, the last with the remainder too; their paths are returned,
+    and earlier files of such names go. The rows are numbered in parallel; a chunk, which is one file, is one task."""
+    spark, order = df.sparkSession, [order] if isinstance(order, str) else order
+    placed = numbered_in_order(df, order)
+    size = max(placed.count() // chunks, 1)
+    chunk = F.least(F.floor(F.col("position") / size), F.lit(chunks - 1)).cast("int")
+    placed = placed.withColumn("__chunk", chunk).repartition(chunks, "__chunk").sortWithinPartitions("__chunk", "position").drop("position")
+    work = f"{path}/_{uuid.uuid4().hex}"
+    placed.write.partitionBy("__chunk").parquet(work)
+    remove_all(spark, f"{path}/{name.format('*')}")
+    paths = [f"{path}/{name.format(i)}" for i in range(chunks)]
+    for i, at in enumerate(paths):
+        if not moved_file(spark, f"{work}/__chunk={i}", at):  # more chunks than rows
+            df.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{work}/__chunk={i}")
+            moved_file(spark, f"{work}/__chunk={i}", at)
+    remove(spark, work)
+    return paths
+
+
+def write_features(features: DataFrame, path: str, width: int, chunks: int) -> list[str]:
+    """Export layout: ID and one scalar column for each dimension, in exact chunks."""
     flat = features.select(F.col("id").alias("ID"), *(F.col("x")[i].alias(f"feat{i}") for i in range(width)))
-    write_chunks(flat, path, chunks, "ID")
+    return write_chunks(flat, path, chunks, ["ID"], "features_{}_split.parquet")
 
 
 def write_embeddings(nodes: DataFrame, path: str) -> None:
