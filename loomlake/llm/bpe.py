@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import Workspace, bounded_batches, groups
+from .common import Workspace, bounded_batches, groups, tidy
 
 #: Texts longer than this many characters are encoded as trees of halves.
 LONG = 16_384
 #: Bytes of text handled at once (one text may have more), bytes of a part that is remembered at most, and parts that a
 #: worker remembers.
-STEP, SHORT, CACHE = 3_000_000, 64, 400_000
+STEP, SHORT, CACHE = 1_000_000, 64, 400_000
 #: A unit that begins this far before a cut, or nearer, may read past it.
 REACH = 4
 #: Units longer than this are joined by merging a window of their tokens, not encoded anew.
@@ -426,8 +426,8 @@ def halves(text: str, most: int) -> list[str]:
 class Decoder:
     """Texts of ids, as the library's ``decode(ids, skip_special_tokens=False)``."""
 
-    def __init__(self, path: str):
-        self.tok = Tokenizer.from_file(path)
+    def __init__(self, tok: Tokenizer):
+        self.tok = tok
         self.names = None
         if self.tok.decoder is None:
             vocab = self.tok.get_vocab(with_added_tokens=True)
@@ -448,7 +448,7 @@ class Decoder:
 
 @functools.lru_cache(maxsize=1)
 def decoder(path: str) -> Decoder:
-    return Decoder(path)
+    return Decoder(encoder(path).tok)
 
 
 def _columns(first: pa.Array, ids: np.ndarray, ends: np.ndarray, path: str | None) -> pa.RecordBatch:
@@ -466,7 +466,6 @@ def _direct(path: str, back: str | None):
             for a, b in steps(batch.column(1)):
                 part = batch.slice(a, b - a)
                 yield _columns(part.column(0), *enc.encode(part.column(1)), back)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -538,7 +537,6 @@ def _trees(path: str, back: str | None):
             ]
             ids = tree.whole(nodes)
             yield _columns(pa.array(g["id"][:1], pa.int64()), ids, np.array([0, len(ids)]), back)
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -563,14 +561,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     back, schema = (path, "id long, ids array<int>, decoded string") if decoded else (None, "id long, ids array<int>")
     tall = F.coalesce(F.length("t") > long, F.lit(False))
     if not Encoder(path).treed:
-        out = src.mapInArrow(_direct(path, back), schema)
+        out = src.mapInArrow(tidy(_direct(path, back)), schema)
     else:
-        out = src.where(~tall).mapInArrow(_direct(path, back), schema)
+        out = src.where(~tall).mapInArrow(tidy(_direct(path, back)), schema)
         # Written before its rows are dealt, so their numbers hold when a task runs again.
         rows = Workspace(docs.sparkSession, "long").save(src.where(tall).withColumn("row", F.monotonically_increasing_id()))
-        leaves = rows.mapInArrow(_leaves(path, long), "id long, row long, leaf int, special int, t string")
-        nodes = leaves.repartition("row", "leaf").mapInArrow(_nodes(path), _NODE)
-        out = out.unionByName(nodes.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(_trees(path, back), schema))
+        leaves = rows.mapInArrow(tidy(_leaves(path, long)), "id long, row long, leaf int, special int, t string")
+        nodes = leaves.repartition("row", "leaf").mapInArrow(tidy(_nodes(path)), _NODE)
+        out = out.unionByName(nodes.repartition("row").sortWithinPartitions("row", "leaf").mapInArrow(tidy(_trees(path, back)), schema))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -595,4 +593,4 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     A tokenizer without a decoder joins its tokens by spaces. Null ids give null, no ids the empty text.
     """
     schema = ", ".join(f"`{n}` {t}" for n, t in encoded.dtypes) + ", decoded string"
-    return encoded.mapInArrow(_texts(path), schema)
+    return encoded.mapInArrow(tidy(_texts(path)), schema)

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,37 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
+#: Input batches after which a worker gives memory back.
+TIDY = 4
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library hold for later goes back to the system, where they can do that."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """The same function of batches, which gives memory back now and then and at the end: workers are used again, and
+    what one stage has freed would count beside what the next one needs."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for n, batch in enumerate(batches, 1):
+            yield batch
+            if n % TIDY == 0:
+                del batch
+                give_back()
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(counted(batches))
+        finally:
+            give_back()
+
+    return tidied
+
+
 class Workspace:
     """Named intermediate tables of one operator call, written to the shared folder.
 

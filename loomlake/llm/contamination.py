@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import raw, steps
-from .common import Workspace, bounded_batches
+from .common import Workspace, bounded_batches, tidy
 
 #: Shorter items are copied only as a whole.
 LEAST = 3
@@ -24,7 +24,7 @@ FILTER = 1024
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of a row of alignments at once.
-CELLS = 100_000
+CELLS = 30_000
 #: Share of an item's perfect score from which a passage is a copy of it. Items of three in ten replaced words score 0.55
 #: on average; the README gives the rates.
 THRESHOLD = 0.42
@@ -81,29 +81,35 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
 
 
 def padded(rows: list[np.ndarray], fill: int) -> np.ndarray:
-    out = np.full((len(rows), max(map(len, rows))), fill, np.int64)
-    for k, row in enumerate(rows):
-        out[k, : len(row)] = row
-    return out
+    """The rows side by side as columns, filled up at their ends."""
+    size = np.fromiter(map(len, rows), np.int64, len(rows))
+    out = np.full((len(rows), int(size.max())), fill, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.concatenate(rows)
+    return out.T.copy()
 
 
 def best_scores(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarray:
-    """Best local score of each item with its passage, as ``align`` gives it; one row of all of them at a time."""
+    """Best local score of each item with its passage, as ``align`` gives it: a row of all of them at a time, whose
+    cells follow each other over the passages' words."""
     out = np.zeros(len(items))
     order = sorted(range(len(items)), key=lambda k: (len(items[k]), len(passages[k])))
     while order:
         n = 1
-        while n < len(order) and n < 512 and (n + 1) * len(passages[order[n]]) < CELLS:
+        while n < len(order) and (n + 1) * len(passages[order[n]]) < CELLS:
             n += 1
         now, order = order[:n], order[n:]
         a, b = padded([items[k] for k in now], -2), padded([passages[k] for k in now], -3)
-        steps = (np.arange(b.shape[1] + 1) * -GAP).astype(np.float32)
-        row, best = np.zeros((n, len(steps)), np.float32), np.zeros(n, np.float32)
-        for word in a.T:
-            new = np.maximum(row + GAP, 0)
-            new[:, 1:] = np.maximum(new[:, 1:], row[:, :-1] + np.where(b == word[:, None], np.float32(MATCH), np.float32(MISMATCH)))
-            row = np.maximum.accumulate(new + steps, axis=1) - steps
-            best = np.maximum(best, row.max(1))
+        steps = (np.arange(len(b) + 1, dtype=np.int32) * -GAP)[:, None]
+        row, best = np.zeros((len(b) + 1, n), np.int32), np.zeros(n, np.int32)
+        for word in a:
+            new = row + GAP
+            np.maximum(new[1:], row[:-1] + np.where(b == word, np.int32(MATCH), np.int32(MISMATCH)), out=new[1:])
+            np.maximum(new, 0, out=new)
+            new += steps
+            np.maximum.accumulate(new, axis=0, out=new)
+            new -= steps
+            row = new
+            np.maximum(best, row.max(0), out=best)
         out[now] = best
     return out
 
@@ -154,6 +160,27 @@ def in_order(where: dict[int, int], size: int, passage: list[int]) -> int:
     return size - free.bit_count()
 
 
+def orders(bits: list[list[int]], sizes: list[int]) -> np.ndarray:
+    """``in_order`` of many passages, given as the bits of the places of each of their words; items of up to 63 words go
+    side by side in machine words."""
+    out = np.zeros(len(bits), np.int64)
+    long = [k for k, n in enumerate(sizes) if n > 63]
+    for k in long:
+        out[k] = in_order(dict(enumerate(bits[k])), sizes[k], list(range(len(bits[k]))))
+    rest = sorted((k for k, n in enumerate(sizes) if n <= 63), key=lambda k: len(bits[k]))
+    for i in range(0, len(rest), 512):
+        now = rest[i : i + 512]
+        width = len(bits[now[-1]])
+        places = np.array([bits[k] + [0] * (width - len(bits[k])) for k in now], np.uint64).T.copy()
+        full = np.array([(1 << sizes[k]) - 1 for k in now], np.uint64)
+        free = full.copy()
+        for m in places:
+            hit = free & m
+            free = ((free + hit) | (free - hit)) & full
+        out[now] = np.array([sizes[k] for k in now]) - np.bitwise_count(free)
+    return out
+
+
 def limit(size: int, threshold: float) -> float:
     return threshold if size >= LEAST else 1.0
 
@@ -206,19 +233,21 @@ class Block:
         many = many[place]
         k = np.repeat(self.begin[number[place]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
         pos, own = np.repeat(place, many), self.owners[k]
-        text = np.searchsorted(at, pos, "right") - 1
-        order = np.lexsort((pos, own, text))
-        pos, key = pos[order], (text * len(self.items) + own)[order]
+        text = np.repeat(np.searchsorted(at, place, "right") - 1, many)
+        key = text * len(self.items) + own
+        order = np.argsort(key, kind="stable")  # places ascend already
+        pos, key = pos[order], key[order]
         end = np.arange(len(key)) + self.hits[key % len(self.items)] - 1
         first = np.flatnonzero(end < len(key))
         last = end[first]
         close = (key[last] == key[first]) & (pos[last] - pos[first] < spans[key[first] % len(self.items)])
         first, last = first[close], last[close]
         cut = np.flatnonzero(np.diff(key[first])) + 1
-        for a, b in zip(np.r_[0, cut], np.r_[cut, len(first)], strict=True):
+        first_at, last_at, owner = pos[first], pos[last], key[first]
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(first)], strict=True):
             if a < b:
-                n, item = divmod(int(key[first[a]]), len(self.items))
-                yield n, item, pos[first[a:b]] - at[n], pos[last[a:b]] - at[n]
+                n, item = divmod(int(owner[a]), len(self.items))
+                yield n, item, first_at[a:b] - at[n], last_at[a:b] - at[n]
 
 
 def _score(shared):
@@ -236,7 +265,7 @@ def _score(shared):
                 part = batch.slice(a, b - a)
                 number, at = block.vocabulary.numbers(part.column(1))
                 slot = number % FILTER
-                near = []  # (text, item, first word, passage) to be aligned
+                near, bits = [], []  # (text, item, first word, passage) to be aligned, and the places of their words
                 for n, item, first, last in block.clusters(number, at):
                     (least, span), size = limits[item], len(block.items[item])
                     begin, close, mine = int(at[n]), int(at[n + 1]), filters[item]
@@ -247,9 +276,11 @@ def _score(shared):
                         if len(like) < least:
                             continue  # too few matches for the threshold, as below: counted once a word, then in order
                         like = like.tolist()
-                        if len(set(like)) + size - len(where[item]) < least or in_order(where[item], size, like) < least:
-                            continue
-                        near.append((n, item, start, passage))
+                        if len(set(like)) + size - len(where[item]) >= least:
+                            near.append((n, item, start, passage))
+                            bits.append([where[item].get(w, 0) for w in like])
+                enough = orders(bits, [len(block.items[x[1]]) for x in near])
+                near = [x for x, m in zip(near, enough.tolist(), strict=True) if m >= limits[x[1]][0]]
                 best: dict[tuple[int, int], tuple] = {}
                 scores = best_scores([block.items[x[1]] for x in near], [x[3] for x in near])
                 for (n, item, start, passage), top in zip(near, scores.tolist(), strict=True):
@@ -309,7 +340,7 @@ def contaminated(
         key, kind = key.cast("long"), "long"
     src = docs.where(F.col(text_col).isNotNull()).select(key.alias("id"), F.col(text_col).alias("t"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("t")).dropna().distinct()
-    sized = items.mapInArrow(_sizes, "item long, t string, n long").where("n > 0")
+    sized = items.mapInArrow(tidy(_sizes), "item long, t string, n long").where("n > 0")
     # All texts of an id lie in one block; only the sizes of ids are summed in one task.
     sizes = sized.groupBy("item").agg(F.sum("n").alias("words"))
     before = "coalesce(sum(words) over (order by item rows between unbounded preceding and 1 preceding), 0)"
@@ -325,7 +356,7 @@ def contaminated(
         vocabulary = Vocabulary(known)
         shared = spark.sparkContext.broadcast(vocabulary)
         freq = np.zeros(len(known) + 1, np.int64)  # the last is of all words
-        for r in src.select("t").mapInArrow(_frequencies(shared), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
+        for r in src.select("t").mapInArrow(tidy(_frequencies(shared)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).collect():
             freq[r["g"]] = r["n"]  # a number for each word of the block at most
         rate, owners, hits = freq / max(freq[-1], 1), [], []
         for n, w in enumerate(words):
@@ -338,5 +369,5 @@ def contaminated(
         order = np.argsort(seed, kind="stable")
         begin = np.concatenate([[0], np.cumsum(np.bincount(seed, minlength=len(known)))])
         block = Block(vocabulary, [item for item, _ in held], words, begin, own[order], np.array(hits), threshold)
-        out = out.unionByName(src.mapInArrow(_score(spark.sparkContext.broadcast(block)), schema))
+        out = out.unionByName(src.mapInArrow(tidy(_score(spark.sparkContext.broadcast(block))), schema))
     return out.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "score", "first_word", "last_word")

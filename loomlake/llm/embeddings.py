@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Workspace, connected_components, groups
+from .common import Workspace, connected_components, groups, tidy
 
 SEED = 7_919
 #: A pair at the threshold may be missed by all tables with this probability at most.
@@ -121,7 +121,7 @@ def near_vectors(
     work = Workspace(vectors.sparkSession, "vectors")
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("v"))
     bits, tables = plan_tables(src.count(), threshold)
-    d = work.save(src.mapInArrow(_keys(bits, tables), "id long, label long, c binary, dim int, v binary, keys array<int>"))
+    d = work.save(src.mapInArrow(tidy(_keys(bits, tables)), "id long, label long, c binary, dim int, v binary, keys array<int>"))
     classes = d.where("c is not null").groupBy("c").agg(
         F.count("*").alias("mult"), *(F.first(x).alias(x) for x in ("label", "dim", "v", "keys"))
     )
@@ -136,7 +136,7 @@ def near_vectors(
     by = [*bucket, "i", "j"]
     full = dealt.join(classes.select("c", "mult", "v", "keys"), "c").select(*by, "p", "c", "mult", "v", "keys")
     found = work.save(
-        full.repartition(*by).sortWithinPartitions(*by).mapInArrow(_compare(threshold), "a binary, b binary, links long")
+        full.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(_compare(threshold)), "a binary, b binary, links long")
     )
     counts = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     counts = work.save(

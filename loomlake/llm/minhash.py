@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Workspace, connected_components, groups, lookup
+from .common import Workspace, connected_components, groups, lookup, tidy
 from .words import mix, shingle_set
 
 #: 80 permutations give 160 signature values (both ends of each); 40 bands of 4 miss a pair at
@@ -195,7 +195,7 @@ def near_duplicates(
     if kind not in ("string", "binary"):
         key, kind = key.cast("long"), "long"
     src = docs.select(key.alias("id"), F.col(text_col).alias("t"))
-    d = work.save(src.mapInArrow(_digests(shingle_words), f"id {kind}, n long, c binary, keys array<long>"))
+    d = work.save(src.mapInArrow(tidy(_digests(shingle_words)), f"id {kind}, n long, c binary, keys array<long>"))
 
     classes = d.where("n > 0").groupBy("c").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     banded = work.save(classes.select("c", "n", F.explode("keys").alias("key")))
@@ -221,14 +221,14 @@ def near_duplicates(
     picked = src.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("t")
     if not rows.where("id is null").isEmpty():
         picked = picked.unionByName(src.where("id is null").select("t"))
-    sets = picked.mapInArrow(_sets(shingle_words), "c binary, s binary").join(rows.select("c"), "c", "left_semi")
+    sets = picked.mapInArrow(tidy(_sets(shingle_words)), "c binary, s binary").join(rows.select("c"), "c", "left_semi")
     sets = work.save(sets.dropDuplicates(["c"]))
 
     members = chunked.join(sets, chunked.b == sets.c).select("a", "chunk", "b", "s")
     centres = chunked.select("a", "chunk").distinct().join(sets, F.col("a") == sets.c)
     centres = centres.select("a", "chunk", F.lit(None).cast("binary").alias("b"), "s")
     stream = members.unionByName(centres).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.col("b").asc_nulls_first())
-    links = work.save(stream.mapInArrow(_stars(percent), "a binary, b binary"))
+    links = work.save(stream.mapInArrow(tidy(_stars(percent)), "a binary, b binary"))
     first = connected_components(links, work)
 
     # Buckets that still hold more than one component; equal member lists in several bands count once.
@@ -245,7 +245,7 @@ def near_duplicates(
     dealt = dealt.withColumn("q", F.explode(F.expr("sequence(0, parts - 1)")))
     dealt = dealt.select("key", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "c", "label")
     full = dealt.join(sets, "c").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = work.save(full.select("key", "i", "j", "c", "label", "s").mapInArrow(_blocks(percent), "a binary, b binary"))
+    more = work.save(full.select("key", "i", "j", "c", "label", "s").mapInArrow(tidy(_blocks(percent)), "a binary, b binary"))
 
     final = first
     if not more.isEmpty():

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Labelled rows the model is fitted on at most: those whose ids have the smallest hashes.
 TRAIN_ROWS = 20_000
@@ -221,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.sparkSession.createDataFrame([(i,) for i in {r["id"] for r in taken}], "id long")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     src = src.join(F.broadcast(ids), "id", "left_semi")  # at most ``rows`` ids
-    found = src.mapInArrow(_features, "id long, x array<double>").collect() if taken else []
+    found = src.mapInArrow(tidy(_features), "id long, x array<double>").collect() if taken else []
     by: dict[int, list] = {}
     for r in sorted(found, key=lambda r: (r["id"], r["x"])):
         by.setdefault(r["id"], r["x"])
@@ -238,7 +238,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id", text_co
     """
     bounded_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    out = src.mapInArrow(_scores(model), "id long, score double")
+    out = src.mapInArrow(tidy(_scores(model)), "id long, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -252,4 +252,4 @@ def with_score(docs: DataFrame, model: AdditiveModel, text_col: str = "text", co
 
     bounded_batches(docs.sparkSession)
     schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + f", `{column}` double"
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Encoder, encoder, steps
-from .common import Workspace, groups
+from .common import Workspace, groups, tidy
 from .words import mix
 
 #: A chunk ends where the low bits of the rolling hash are zero, after MIN ids at least and MAX at most.
@@ -118,7 +118,6 @@ def _chunks(path: str, end_id: int, width: str):
                      pa.concat_arrays([pa.nulls(new, pa.int64()), pa.array(np.diff(ends))]), pa.concat_arrays([bodies, pa.array(recipes, pa.binary())])],
                     ["kind", "key", "id", "n", "body"],
                 )
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -194,7 +193,7 @@ class TokenStore:
         rows = rows.unionByName(refs.join(F.broadcast(hot), "key", "left_semi").join(F.broadcast(held), "key", "left"))
         rows = rows.repartition("part", "seq").sortWithinPartitions("part", "seq", "i")
         rows = rows.select("part", "seq", "id", "start", "n", "i", "key", "body")
-        return rows.mapInArrow(_rebuild(self.width), "id long, start long, n_tokens long, ids binary")
+        return rows.mapInArrow(tidy(_rebuild(self.width)), "id long, start long, n_tokens long, ids binary")
 
 
 def _rebuild(width: str):
@@ -241,7 +240,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     size = Encoder(path).tok.get_vocab_size()
     width = "<u2" if max(size, end_id + 1) <= 65_536 else "<u4"
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    rows = src.mapInArrow(_chunks(path, end_id, width), "kind int, key binary, id long, n long, body binary")
+    rows = src.mapInArrow(tidy(_chunks(path, end_id, width)), "kind int, key binary, id long, n long, body binary")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     same = [F.first(c).alias(c) for c in ("kind", "id", "n", "body")]
     rows = rows.repartition(parts, "key").groupBy("key").agg(*same, F.count("*").alias("copies"))
@@ -254,7 +253,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     raw = packs.where("kind = 1").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).select("id", "n", "body", "copy")
     order = [F.col("id").asc_nulls_first(), F.col("body"), F.col("copy")]
     ranged = raw.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    local = work.save(ranged.drop("copy").mapInArrow(_ordered, "part int, seq long, id long, start long, n long, recipe binary"))
+    local = work.save(ranged.drop("copy").mapInArrow(tidy(_ordered), "part int, seq long, id long, start long, n long, recipe binary"))
     ends = local.where("seq = -1").select("part", F.col("id").alias("docs"), F.col("start").alias("ids"), F.col("recipe").alias("root")).orderBy("part").collect()
     tree, base, rows = Merkle(), 0, []
     for r in ends:  # one row a range
@@ -289,7 +288,7 @@ def verify(store: TokenStore) -> bool:
             yield (at,), tree
 
     rows = store.recipes.repartition("part").sortWithinPartitions("part", "seq").select("part", "id", "n", "recipe")
-    found = {r["part"]: bytes(r["root"]) for r in rows.mapInArrow(check, "part int, root binary").collect()}
+    found = {r["part"]: bytes(r["root"]) for r in rows.mapInArrow(tidy(check), "part int, root binary").collect()}
     whole = Merkle()
     for r in store.manifests.orderBy("part").collect():
         if found.get(r["part"]) != bytes(r["root"]):

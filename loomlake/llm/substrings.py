@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Workspace
+from .common import Workspace, tidy
 from .words import hash_words, mix, rolling, split_words
 
 #: Words of an anchor, the smallest of whose hashes in a window stands for the window.
@@ -149,25 +149,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(docs.sparkSession, "substrings")
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     known = src.where("id is not null and t is not null")
-    a = work.save(known.select("id", "t").mapInArrow(_anchors(window), "h long, id long"))
+    a = work.save(known.select("id", "t").mapInArrow(tidy(_anchors(window)), "h long, id long"))
     repeated = a.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
     wanted = work.save(a.join(repeated, "h").groupBy("id").agg(F.collect_set("h").alias("hs")))
     work.drop(a)
     texts = known.withColumn("k", F.xxhash64("t")).join(wanted, "id").select("id", "k", "t", "hs")
-    runs = work.save(texts.mapInArrow(_runs(window), "id long, k long, start int, span binary"))
+    runs = work.save(texts.mapInArrow(tidy(_runs(window)), "id long, k long, start int, span binary"))
     work.drop(wanted)
-    nodes = runs.select("span").mapInArrow(_nodes(window, True), "node long, way long")
+    nodes = runs.select("span").mapInArrow(tidy(_nodes(window, True)), "node long, way long")
     marked = nodes.groupBy("node").agg(F.min("way").alias("lo"), F.max("way").alias("hi")).where("lo < hi").select("node")
     marked = work.save(marked)
-    places = runs.mapInArrow(_nodes(window, False), "node long, id long, k long, pos int")
+    places = runs.mapInArrow(tidy(_nodes(window, False)), "node long, id long, k long, pos int")
     cuts = places.join(marked, "node", "left_semi").groupBy("id", "k").agg(F.collect_set("pos").alias("cuts"))
     paths = runs.join(cuts, ["id", "k"], "left").select("id", "k", "start", "span", "cuts")
-    paths = work.save(paths.mapInArrow(_paths(window), "id long, k long, start int, size int, path binary"))
+    paths = work.save(paths.mapInArrow(tidy(_paths(window)), "id long, k long, start int, size int, path binary"))
     work.drop(runs, marked)
     first = paths.groupBy("path").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
     gone = paths.join(first, "path").where("id > first").groupBy("id", "k").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
     gone = work.save(gone)
     work.drop(paths)
     full = src.withColumn("k", F.xxhash64("t")).join(gone, ["id", "k"], "left").select("id", "t", "spans")
-    out = full.mapInArrow(_cut, "id long, n long, gone long, kept string")
+    out = full.mapInArrow(tidy(_cut), "id long, n long, gone long, kept string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))

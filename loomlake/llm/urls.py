@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys drawn for each range boundary, as a range partitioner draws them.
@@ -114,9 +114,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     bounds = sorted({keys[i * len(keys) // parts] for i in range(1, parts)}) if keys else []
 
     schema = "pid int, key string, rule string, verdict string, host string, path string"
-    dealt = urls.unionByName(law).mapInArrow(_ranges(bounds), schema)
+    dealt = urls.unionByName(law).mapInArrow(tidy(_ranges(bounds)), schema)
     swept = dealt.repartition("pid").sortWithinPartitions("pid", "key", F.col("rule").isNull())
-    hits = swept.mapInArrow(_sweep, "host string, path string, rule string, verdict string, size int, labels int")
+    hits = swept.mapInArrow(tidy(_sweep), "host string, path string, rule string, verdict string, size int, labels int")
     order = F.struct("size", "labels", "rule", "verdict")
     best = hits.groupBy("host", "path").agg(F.max(order).alias("best"))
     out = src.join(best, ["host", "path"], "left")

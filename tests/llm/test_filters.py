@@ -5,7 +5,7 @@ import pytest
 from made import make_docs
 
 from loomlake.llm import quality
-from loomlake.llm.contamination import THRESHOLD, align, best_scores, contaminated, plain_words
+from loomlake.llm.contamination import THRESHOLD, align, best_scores, contaminated, orders, places, plain_words
 from loomlake.llm.urls import judge_urls
 
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -85,6 +85,17 @@ def test_alignment_against_the_plain_recurrence():
     pairs = [[rnd.integers(0, 5, rnd.integers(1, 30)) for _ in range(2)] for _ in range(700)]
     assert best_scores(*map(list, zip(*pairs, strict=True))).tolist() == [align(a, b)[0] for a, b in pairs]
     assert best_scores([], []).tolist() == []
+    for size in (1, 30, 63, 64, 90):  # the longest common subsequence of many pairs, and by the textbook
+        pairs = [(rnd.integers(0, 9, size), rnd.integers(0, 12, rnd.integers(0, 50))) for _ in range(40)]
+        bits = [[places(a).get(w, 0) for w in b.tolist()] for a, b in pairs]
+        for got, (a, b) in zip(orders(bits, [size] * 40), pairs, strict=True):
+            row = [0] * (size + 1)
+            for w in b:
+                new = [0]
+                for k in range(size):
+                    new.append(row[k] + 1 if a[k] == w else max(new[k], row[k + 1]))
+                row = new
+            assert got == row[-1]
     assert plain_words("Ab-Cé 1_2\n") == [b"ab", "cé".encode(), b"1", b"2"]
 
 
