@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .common import Workspace, tidy
-from .words import hash_words, mix, rolling, split_words
+from .common import Workspace, lookup, tidy
+from .words import mix, rolling, split_words, wide_hashes
 
 #: Words of an anchor, the smallest of whose hashes in a window stands for the window.
 ANCHOR = 5
+#: Hashes of 8 bytes that may be broadcast.
+NODES = 1_000_000
 _IN, _OUT = np.uint64(0x632BE59BD9B4E019), np.uint64(0x85157AF5B2A5C3D1)
 
 
@@ -39,7 +41,7 @@ def anchors(h: np.ndarray, window: int) -> np.ndarray:
 def _anchors(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(hash_words(split_words(t.as_py())), window)) for t in batch.column(1)]
+            found = [np.unique(anchors(wide_hashes(split_words(t.as_py()))[:, 0], window)) for t in batch.column(1)]
             ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
             flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(ids, pa.int64())], ["h", "id"])
@@ -48,22 +50,24 @@ def _anchors(window: int):
 
 
 def _runs(window: int):
-    """Maximal runs of windows whose anchors are repeated: start, and the hashes of the words they span."""
+    """Maximal runs of windows whose anchors are repeated: start, the digests of the words they span, and the digest
+    of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ks, starts, spans = [], [], [], []
             for i, k, t, hs in zip(*(batch.column(n) for n in ("id", "k", "t", "hs")), strict=True):
-                h = hash_words(split_words(t.as_py()))
+                h = wide_hashes(split_words(t.as_py()))
                 wanted = np.asarray(hs.values.to_numpy(zero_copy_only=False)).astype(np.int64).view(np.uint64)
-                on = np.isin(anchors(h, window), wanted)
+                on = np.isin(anchors(h[:, 0], window), wanted)
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
                 for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
                     ids.append(i.as_py()), ks.append(k.as_py()), starts.append(a), spans.append(h[a : b + window - 1].tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int32()), pa.array(spans, pa.binary())],
-                ["id", "k", "start", "span"],
-            )
+                [pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int32()), pa.array(spans, pa.binary()),
+                 pa.array([xxh3_128_digest(s) for s in spans], pa.binary())],
+                ["id", "k", "start", "span", "run"],
+            )
 
     return run
 
@@ -74,8 +78,8 @@ def _nodes(window: int, ways: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = batch.column("span").to_pylist()
-            words = np.array([len(s) // 8 for s in spans], np.int64)
-            flat = np.frombuffer(b"".join(spans), np.uint64)
+            words = np.array([len(s) // 16 for s in spans], np.int64)
+            flat = np.frombuffer(b"".join(spans), np.uint64)[::2]
             count = words - window + 2
             place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             at = np.repeat(np.cumsum(words) - words, count) + place
@@ -87,9 +91,8 @@ def _nodes(window: int, ways: bool):
                 way = mix(mix(before + _IN) ^ (after + _OUT))
                 yield pa.RecordBatch.from_arrays([node, pa.array(way.view(np.int64))], ["node", "way"])
             else:
-                rep = lambda n: np.repeat(batch.column(n).to_numpy(zero_copy_only=False), count)
-                pos = (rep("start") + place).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([node, pa.array(rep("id"), pa.int64()), pa.array(rep("k"), pa.int64()), pa.array(pos)], ["node", "id", "k", "pos"])
+                run = batch.column("run").take(pa.array(np.repeat(np.arange(len(spans)), count)))
+                yield pa.RecordBatch.from_arrays([node, run, pa.array(place.astype(np.int32))], ["node", "run", "pos"])
 
     return run
 
@@ -99,17 +102,16 @@ def _paths(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ks, starts, sizes, digests = [], [], [], [], []
-            for i, k, start, span, cuts in zip(*(batch.column(n).to_pylist() for n in ("id", "k", "start", "span", "cuts")), strict=True):
-                windows = len(span) // 8 - window + 1
-                at = np.unique(np.array([c - start for c in cuts or [] if 0 < c - start < windows], np.int64))
-                at = [0, *at.tolist(), windows]
+            runs, starts, sizes, digests, los, his = [], [], [], [], [], []
+            for name, span, cuts, lo, hi in zip(*(batch.column(n).to_pylist() for n in ("run", "span", "cuts", "lo", "hi")), strict=True):
+                windows = len(span) // 16 - window + 1
+                at = [0, *sorted({c for c in cuts or [] if 0 < c < windows}), windows]
                 for a, b in zip(at, at[1:], strict=False):
-                    ids.append(i), ks.append(k), starts.append(start + a), sizes.append(b - a + window - 1)
-                    digests.append(xxh3_128_digest(span[8 * a : 8 * (b + window - 1)]))
+                    runs.append(name), starts.append(a), sizes.append(b - a + window - 1), los.append(lo), his.append(hi)
+                    digests.append(xxh3_128_digest(span[16 * a : 16 * (b + window - 1)]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ks, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary())],
-                ["id", "k", "start", "size", "path"],
+                [pa.array(runs, pa.binary()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(los, pa.int64()), pa.array(his, pa.int64())],
+                ["run", "start", "size", "path", "lo", "hi"],
             )
 
     return run
@@ -136,12 +138,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     a row of smaller id; windows are judged on the input.
 
     1. Each window is stood for by its anchor, the smallest hash of its 5-word grams; a document has one
-       distinct anchor for about five windows. Anchors of one id only are dropped by a partial aggregate.
-    2. Runs of windows with repeated anchors become paths of a De Bruijn graph: 13-grams are edges, 12-grams
-       nodes. A node is simple if all its occurrences have the same neighbours; a join marks the others.
-    3. Runs are cut at the marked nodes. All documents with an edge of such a nonbranching path have the
-       whole path, so one row stands for its windows, and its first owner is the smallest id among the rows
-       whose words at the path's coordinates have the same 128-bit digest.
+       distinct anchor for about five windows. Anchors of one row only are dropped by a partial aggregate.
+    2. Runs of windows with repeated anchors are told apart by a 128-bit digest. Equal ones are one run from here on, with
+       the smallest and the largest id that has it, so copies and shared passages of any number count once.
+    3. Runs become paths of a De Bruijn graph: 13-grams are edges, 12-grams nodes. A node is simple if all its
+       occurrences have the same neighbours; a join marks the others.
+    4. Runs are cut at the marked nodes. All documents with an edge of such a nonbranching path have the
+       whole path, so one row stands for its windows, and its first owner is the smallest id among the runs
+       whose words at the path's coordinates agree: the digest of a path is over 128-bit digests of its words.
 
     Null text has no words. Rows of null id are neither cut nor a source. Rows of one id are never sources
     for each other; each is returned. Other columns are ignored; an empty table gives an empty result.
@@ -150,24 +154,29 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     known = src.where("id is not null and t is not null")
     a = work.save(known.select("id", "t").mapInArrow(tidy(_anchors(window)), "h long, id long"))
-    repeated = a.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    wanted = work.save(a.join(repeated, "h").groupBy("id").agg(F.collect_set("h").alias("hs")))
-    work.drop(a)
+    repeated = work.save(a.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
+    wanted = work.save(lookup(a, repeated, "h", most=NODES).groupBy("id").agg(F.collect_set("h").alias("hs")))
+    work.drop(a, repeated)
     texts = known.withColumn("k", F.xxhash64("t")).join(wanted, "id").select("id", "k", "t", "hs")
-    runs = work.save(texts.mapInArrow(tidy(_runs(window)), "id long, k long, start int, span binary"))
+    every = work.save(texts.mapInArrow(tidy(_runs(window)), "id long, k long, start int, span binary, run binary"))
     work.drop(wanted)
+    runs = work.save(every.groupBy("run").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("span").alias("span")))
     nodes = runs.select("span").mapInArrow(tidy(_nodes(window, True)), "node long, way long")
     marked = nodes.groupBy("node").agg(F.min("way").alias("lo"), F.max("way").alias("hi")).where("lo < hi").select("node")
     marked = work.save(marked)
-    places = runs.mapInArrow(tidy(_nodes(window, False)), "node long, id long, k long, pos int")
-    cuts = places.join(marked, "node", "left_semi").groupBy("id", "k").agg(F.collect_set("pos").alias("cuts"))
-    paths = runs.join(cuts, ["id", "k"], "left").select("id", "k", "start", "span", "cuts")
-    paths = work.save(paths.mapInArrow(tidy(_paths(window)), "id long, k long, start int, size int, path binary"))
+    places = runs.select("run", "span").mapInArrow(tidy(_nodes(window, False)), "node long, run binary, pos int")
+    cuts = lookup(places, marked, "node", "left_semi", NODES).groupBy("run").agg(F.collect_set("pos").alias("cuts"))
+    paths = runs.join(cuts, "run", "left").select("run", "span", "cuts", "lo", "hi")
+    paths = work.save(paths.mapInArrow(tidy(_paths(window)), "run binary, start int, size int, path binary, lo long, hi long"))
     work.drop(runs, marked)
-    first = paths.groupBy("path").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    gone = paths.join(first, "path").where("id > first").groupBy("id", "k").agg(F.collect_set(F.struct("start", "size")).alias("spans"))
-    gone = work.save(gone)
-    work.drop(paths)
+    first = work.save(paths.groupBy("path").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("path", "first"))
+    owned = lookup(paths, first, "path").where("hi > first")
+    owned = work.save(owned.groupBy("run").agg(F.collect_list(F.struct("start", "size", "first")).alias("paths")))
+    gone = lookup(every.select("id", "k", "start", "run"), owned, "run")
+    mine = F.transform(F.filter("paths", lambda p: p["first"] < F.col("id")), lambda p: F.struct((F.col("start") + p["start"]).alias("start"), p["size"].alias("size")))
+    gone = gone.select("id", "k", mine.alias("mine")).where(F.size("mine") > 0)
+    gone = work.save(gone.groupBy("id", "k").agg(F.flatten(F.collect_set("mine")).alias("spans")))
+    work.drop(every, paths, first, owned)
     full = src.withColumn("k", F.xxhash64("t")).join(gone, ["id", "k"], "left").select("id", "t", "spans")
     out = full.mapInArrow(tidy(_cut), "id long, n long, gone long, kept string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))

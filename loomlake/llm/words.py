@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from xxhash import xxh3_64_intdigest
+from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -23,6 +23,11 @@ def hash_words(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
+def wide_hashes(words: list[bytes]) -> np.ndarray:
+    """128-bit digests of the words, as two columns."""
+    return np.frombuffer(b"".join(map(xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser: a bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
