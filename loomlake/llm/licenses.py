@@ -111,7 +111,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ignored; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
-    src = src.select("id", F.md5("t").alias("k"), words_of(F.col("t")).alias("w"))
+    src = src.select("id", F.unhex(F.md5("t")).alias("k"), words_of(F.col("t")).alias("w"))
     pairs = src.where(F.size("w") > 1).select(
         "id", "k", F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.expr("slice(w, 2, size(w))").alias("b"))).alias("pos", "z")
     )

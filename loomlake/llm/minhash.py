@@ -20,7 +20,7 @@ SEED = 20_240_501
 #: Members of one comparison block, and shingles in it.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 #: Members that one task holds against their centre.
-CHUNK = 1_000
+CHUNK = 256
 #: Ids that may be broadcast at once (16 MB); beyond it the join is shuffled.
 BROADCAST_ROWS = 1_000_000
 
