@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, tidy
+from .common import Workspace, bounded_batches, lookup, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys drawn for each range boundary, as a range partitioner draws them.
@@ -84,7 +84,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     Each distinct (host, path) probes once for each of its domain suffixes that is no deeper than the
     deepest rule. Keys are dealt into ranges by boundaries drawn from them, each rule to all ranges it
     meets, then every range is sorted and swept once with a stack of the rules still open. Repeated urls
-    collapse before the exchange, so a hot url is one probe; a hot host spreads over ranges by its paths.
+    collapse before the exchange, so a hot url is one probe; a hot host spreads over ranges by its paths. What is found
+    is written and joined back to the rows (see ``lookup``).
 
     Null urls and urls without ``://`` have empty host and path. Of rules equal in host and path the one
     with the smallest verdict text holds; rules with a null column are ignored. Repeated and null ids are
@@ -115,11 +116,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
 
     schema = "pid int, key string, rule string, verdict string, host string, path string"
     dealt = urls.unionByName(law).mapInArrow(tidy(_ranges(bounds)), schema)
-    swept = dealt.repartition("pid").sortWithinPartitions("pid", "key", F.col("rule").isNull())
+    swept = dealt.repartitionById(len(bounds) + 1, "pid").sortWithinPartitions("pid", "key", F.col("rule").isNull())
     hits = swept.mapInArrow(tidy(_sweep), "host string, path string, rule string, verdict string, size int, labels int")
     order = F.struct("size", "labels", "rule", "verdict")
-    best = hits.groupBy("host", "path").agg(F.max(order).alias("best"))
-    out = src.join(best, ["host", "path"], "left")
+    best = Workspace(spark, "urls").save(hits.groupBy("host", "path").agg(F.max(order).alias("best")))
+    out = lookup(src, best, ["host", "path"], "left")
     return out.select(
         F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )

@@ -39,6 +39,16 @@ def test_urls_against_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == by[r.page_id]
 
 
+def test_ties_between_rules(spark):
+    """Of rules of equal length the one of the longer host wins; of equal host and path the smaller verdict."""
+    rules = [("block", "b.com", "/xx"), ("allow", "a.b.com", "/"), ("block", "c.org", "/"), ("allow", "c.org", "/"), ("block", "x.net", ""), ("allow", "net", "/a")]
+    urls = ["http://a.b.com/xx", "http://b.com/xx", "http://c.org/q", "http://x.net/a", "http://y.net/a"]
+    got = {r.url: (r.rule, r.verdict) for r in judge_urls(spark.createDataFrame([(u, u) for u in urls], "page_id string, url string"), spark.createDataFrame(rules, "verdict string, host string, path string")).withColumnRenamed("page_id", "url").collect()}
+    assert got == {
+        urls[0]: ("a.b.com/", "allow"), urls[1]: ("b.com/xx", "block"), urls[2]: ("c.org/", "allow"), urls[3]: ("x.net", "block"), urls[4]: ("net/a", "allow"),
+    }
+
+
 def test_urls_without_rules_or_pages(spark):
     assert [(r.rule, r.verdict) for r in judge(spark, [(1, "http://a.org/")], [])] == [(None, "allow")]
     assert judge(spark, [], RULES) == []

@@ -77,7 +77,12 @@ def test_signature_values_are_unbiased():
 VECTORS = "vec_id long, embedding array<float>, label int, id string, c string, n string"
 
 
-def test_vectors_against_brute_force(spark):
+@pytest.mark.parametrize("bits", [2, 12, 18])
+def test_vectors_against_brute_force(spark, monkeypatch, bits):
+    """With keys of one, two and four bytes, as large inputs have."""
+    from loomlake.llm import embeddings
+
+    monkeypatch.setattr(embeddings, "BITS", bits)
     rnd = np.random.default_rng(2)
     rows = []
     for i in range(80):
@@ -101,6 +106,14 @@ def test_vectors_against_brute_force(spark):
     assert sorted(map(tuple, got.collect())) == expected
 
 
+def test_double_vectors_and_multiples(spark):
+    """Doubles keep their precision; a vector's multiples are links, at any scale."""
+    v = [0.1, -0.7, 0.3]
+    rows = [(i, [x * s for x in v], 1, None, None, None) for i, s in enumerate((1.0, 2.0, 1e300, 1e-300, 3.7))] + [(9, [0.7, 0.1, 0.0], 1, None, None, None)]
+    got = near_vectors(spark.createDataFrame(rows, VECTORS.replace("float", "double"))).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [*((i, 4, 0) for i in range(5)), (9, 0, 9)]
+
+
 def test_vector_blocks_count_each_link_once(spark, monkeypatch):
     from loomlake.llm import embeddings
 

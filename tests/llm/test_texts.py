@@ -245,6 +245,61 @@ def test_store_round_trip(spark, corpus):
     assert store.checksums(store.write_store(make_docs(spark, []), BYTE_BPE)).collect() == []
 
 
+def test_store_rejects_damage(spark):
+    """A changed chunk fails when read; a changed or lost recipe or manifest when verified."""
+    rows = [(i, f"word{i} " * 300) for i in range(12)]
+    made = store.write_store(make_docs(spark, rows), BYTE_BPE)
+    whole = (made.packs, made.recipes, made.manifests)
+    assert store.verify(made) and made.read().count() == 12
+
+    made.packs = whole[0].withColumn("body", F.when(F.col("kind") == 0, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(b"\x07"))).otherwise(F.col("body")))
+    with pytest.raises(Exception, match="damaged"):
+        made.read().collect()
+    made.packs = whole[0].where("kind = 1 or length(body) < 0")
+    with pytest.raises(Exception, match="missing"):
+        made.read().collect()
+    made.packs = whole[0]
+    some = F.col("id") == 5
+    for broken in (
+        whole[1].withColumn("n", F.when(some, F.col("n") + 1).otherwise(F.col("n"))),
+        whole[1].withColumn("recipe", F.when(some, F.expr("substring(recipe, 17)")).otherwise(F.col("recipe"))),
+        whole[1].withColumn("id", F.when(some, 50).otherwise(F.col("id"))), whole[1].where(~some), whole[1].where("id < 0"),
+    ):
+        made.recipes = broken
+        assert not store.verify(made)
+    made.recipes = whole[1]
+    for broken in (whole[2].where(F.col("part") > whole[2].agg(F.min("part")).first()[0]), whole[2].withColumn("root", F.lit(bytes(32)))):
+        made.manifests = broken
+        assert not store.verify(made)
+    made.manifests = whole[2]
+    assert store.verify(made)
+
+
+def test_repeated_and_hot_rows_are_stored_each(spark):
+    rows = [(None, "same text " * 200)] * 40 + [(3, "same text " * 200)] * 20 + [(3, "other"), (3, ""), (3, None)]
+    made = store.write_store(make_docs(spark, rows), BYTE_BPE)
+    got = store.checksums(made).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 40 + [3] * 23
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:n]) for n in range(63)]
+    assert sorted(r.n_tokens for r in got if r.doc_id == 3)[:3] == [1, 1, 2] and store.verify(made)
+
+
+@pytest.mark.parametrize("path", [WORD_BPE, BYTE_BPE])
+def test_long_texts_of_any_script_are_trees(spark, path):
+    """Long texts are joined from several leaves, whatever their script, special tokens or tokenizer."""
+    tok = Tokenizer.from_file(path)
+    texts = ["日本語の文章です。" * 300, "🙂👍🏽é" * 700, "привет мир " * 300, "<|endoftext|>".join(["a b c"] * 400), "e\u0301" * 1500, "한글 문장 " * 500, "\u0301" * 2000, "漢" * 3000]
+    enc = bpe.Encoder(path)
+    assert enc.treed
+    for t in texts[:6] + texts[7:]:
+        assert len(bpe.halves(t, 500)) > 1
+        assert "".join(bpe.halves(t, 500)) == t and max(map(len, bpe.halves(t, 500))) <= 500
+    rows = list(enumerate(texts))
+    for r in bpe.encode(make_docs(spark, rows), path, long=500, decoded=True).collect():
+        ids = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.ids == ids and r.decoded == tok.decode(ids, skip_special_tokens=False)
+
+
 def test_merkle_root_is_order_sensitive():
     def root(leaves):
         tree = store.Merkle()
