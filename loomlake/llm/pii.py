@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Workspace
+
 #: Kinds in order, with their patterns. The first four are the base ones. Possessive loops and the look-behind
 #: leave the matches as they are and keep the matcher linear and without recursion on very long runs.
 KINDS = {
@@ -36,7 +38,7 @@ CONTEXT = {
 }
 #: Boosting rounds, shrinkage, depth; examples, every fifth of which is held out; precision that a kind's threshold must
 #: reach on those.
-ROUNDS, RATE, DEPTH, EXAMPLES, PRECISION = 30, 0.3, 3, 6_000, 0.95
+ROUNDS, RATE, DEPTH, EXAMPLES, PRECISION = 20, 0.4, 3, 6_000, 0.95
 FEATURES = [
     "is_number", "is_secret", "size_bin", "digit_bin", "separator_bin", "separators", "turns", "cases", "opening",
     *CONTEXT, "quoted", "glued", "follow", "checksum", "octets",
@@ -299,12 +301,14 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ignored; an empty table gives an empty result. key is a digest of the text, for joining spans to rows. Ids are of
     any type.
     """
-    model = trained()
+    spark, model = docs.sparkSession, trained()
     key = F.col(id_col)
     if dict(docs.dtypes)[id_col] not in ("string", "binary"):
         key = key.cast("long")
     src = docs.select(key.alias("id"), F.col(text_col).alias("t"))
     found = described(candidates(src.withColumn("id", F.hex("id") if dict(src.dtypes)["id"] == "binary" else F.col("id"))))
+    # Written (some tens of bytes a candidate, no text), so that the trees see columns, not the patterns behind them.
+    found = Workspace(spark, "pii").save(found.drop("m"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     spans = found.withColumns({"score": model.score(), "base": F.coalesce("valid", F.lit(False))})
     spans = spans.where(F.col("base") | (F.col("score") >= model.least()))
