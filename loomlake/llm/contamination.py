@@ -23,6 +23,8 @@ FILTER = 1024
 #: about 100 MB then.
 BLOCK_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: What a cluster of seeds costs, in places of seeds.
+LOOKS = 100
 #: Cells of a row of alignments at once.
 CELLS = 30_000
 #: Share of an item's perfect score from which a passage is a copy of it. Items of three in ten replaced words score 0.55
@@ -92,10 +94,10 @@ def best_scores(items: list[np.ndarray], passages: list[np.ndarray]) -> np.ndarr
     """Best local score of each item with its passage, as ``align`` gives it: a row of all of them at a time, whose
     cells follow each other over the passages' words."""
     out = np.zeros(len(items))
-    order = sorted(range(len(items)), key=lambda k: (len(items[k]), len(passages[k])))
+    order = sorted(range(len(items)), key=lambda k: (len(passages[k]), len(items[k])))
     while order:
-        n = 1
-        while n < len(order) and (n + 1) * len(passages[order[n]]) < CELLS:
+        n, most = 1, 64 + 2 * len(passages[order[0]])
+        while n < len(order) and len(passages[order[n]]) <= most and (n + 1) * len(passages[order[n]]) < CELLS:
             n += 1
         now, order = order[:n], order[n:]
         a, b = padded([items[k] for k in now], -2), padded([passages[k] for k in now], -3)
@@ -127,7 +129,8 @@ def bounds(size: int, threshold: float) -> tuple[int, int]:
 def seeds(rates: np.ndarray, threshold: float) -> tuple[int, int]:
     """(number of seeds, hits among them that any alignment at the threshold has) of an item with these rates of its
     words in the documents, rarest first. All but ``least`` words and h more share h with any ``least`` of them; the h
-    is taken that lets the fewest places through, if words come independently."""
+    is taken that costs least: a look at each seed's place, and LOOKS of them where it begins a cluster of h, if words come
+    independently."""
     least, span = bounds(len(rates), threshold)
     best = (math.inf, 0, 0)
     for hits in range(1, least + 1):
@@ -137,7 +140,7 @@ def seeds(rates: np.ndarray, threshold: float) -> tuple[int, int]:
         for k in range(hits - 1):
             below += term
             term *= mean / (k + 1)
-        best = min(best, (total * max(1 - below, 1e-9), n, hits))
+        best = min(best, (total * (1 + LOOKS * max(1 - below, 1e-9)), n, hits))
     return best[1], best[2]
 
 
