@@ -81,9 +81,27 @@ def test_stages_take_nulls_repeats_and_nothing(spark, corpus):
             assert len(rows) == len(odd)
         if name == "decontamination":
             assert len(rows) == len(odd)
+        if name == "quality":
+            model = quality.train(docs, table(spark, SF, "labels"))
+            good = [x for x in odd if model.score(quality.features(x[1])[None])[0] >= 0.3]
+            assert sorted(map(repr, ((r.doc_id, r.text) for r in rows))) == sorted(map(repr, good))
+        if name == "bpe":
+            assert sorted(map(str, (r.doc_id for r in rows))) == sorted(str(i) for i, _ in odd)
+            empty = sha256(b"").hexdigest()
+            assert all((r.n_tokens, r.ids, r.decoded_sha256) == (0, [], empty) for r in rows if r.doc_id in (40, 41))
         assert stage(spark, make_docs(spark, []), SF).collect() == []
 
 
+def test_rows_of_one_id_are_told_apart_by_text(spark):
+    """Two texts under one id, and rows equal in both: decisions and redactions follow the row's own text."""
+    item = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    rows = [(1, item + " end"), (1, "clean words of another row"), (1, None), (1, ""), (None, item), (None, "mail a@b.cd now"), (1, "mail a@b.cd now"), (1, "mail a@b.cd now")]
+    clean = sorted((str(r.doc_id), str(r.text)) for r in c.decontamination_stage(spark, make_docs(spark, rows), SF).collect())
+    assert clean == sorted((str(i), str(t)) for i, t in rows if t is None or item not in t)
+    told = sorted((str(r.doc_id), str(r.text)) for r in c.pii_stage(spark, make_docs(spark, rows), SF).collect())
+    assert told == sorted((str(i), str(t).replace("a@b.cd", "[EMAIL]")) for i, t in rows)
+
+
 def test_near_duplicates_are_judged_by_row(spark):
     """Rows of one id, or of none, stand for their own texts."""
     text = lambda tag: " ".join(f"{tag}{k}" for k in range(60))
