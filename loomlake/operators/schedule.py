@@ -23,10 +23,7 @@ def batch_counts(edges: DataFrame, size: int, groups: list[str], shared: list[st
     n = edges.groupBy(*groups).agg(F.count("*").alias("edges"), F.ceil(F.count("*") / F.lit(size)).cast("long").alias("batches"))
     if shared is None:
         return n
-    if not shared:
-        return n.crossJoin(F.broadcast(n.agg(F.min("batches").alias("__least")))).withColumn("batches", F.col("__least")).drop("__least")  # one row
-    least = n.groupBy(*shared).agg(F.min("batches").alias("__least"))
-    return n.join(F.broadcast(least), shared).withColumn("batches", F.col("__least")).drop("__least")
+    return n.withColumn("batches", F.expr(f"min(batches) over ({'partition by ' + ', '.join(shared) if shared else ''})"))  # one row a group
 
 
 def batches(edges: DataFrame, size: int, part_col: str = "dst_part", order: list[str] | None = None, groups: list[str] | None = None, shared: list[str] | None = None) -> DataFrame:

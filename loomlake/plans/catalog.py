@@ -133,8 +133,10 @@ def export_entry(spark, d):
     G.supply_edges(spark, d).select("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
     G.supply_features(spark, d).select("id", F.col("x").alias("feat0")).write.mode("overwrite").parquet(f"{path}/nodes")
     edges, feats = X.export(spark, f"{path}/edges", f"{path}/nodes", 3, 2, f"{path}/out")
-    e, f = spark.read.parquet(*edges).agg(F.count("*").alias("edges")), S.read_features(spark, feats, "id").agg(F.count("*").alias("nodes"))
-    return e.join(F.broadcast(f)).withColumns({"edge_files": F.lit(len(edges)), "feature_files": F.lit(len(feats))})  # one row each
+    e = spark.read.parquet(*edges).select(F.lit(1).alias("e"), F.lit(0).alias("n"))
+    f = S.read_features(spark, feats, "id").select(F.lit(0).alias("e"), F.lit(1).alias("n"))
+    counts = e.unionByName(f).agg(F.sum("e").alias("edges"), F.sum("n").alias("nodes"))
+    return counts.withColumns({"edge_files": F.lit(len(edges)), "feature_files": F.lit(len(feats))})
 
 
 @query(with_ctes(["feats"], f"select id, (k - 2)::int as k, {binned_sql('v')} as v from feats where k >= 2"))
@@ -295,8 +297,9 @@ def count_targets(spark, d):
 
 @query(with_ctes(["nodes", "edges2"], "select (select count(*) from nodes) as nodes, (select min(id) from nodes) as first_id, (select count(*) from edges2) as edges"))
 def graph_totals(spark, d):
-    n = G.supply_nodes(spark, d).agg(F.count("*").alias("nodes"), F.min("id").alias("first_id"))
-    return n.join(F.broadcast(G.supply2_edges(spark, d).agg(F.count("*").alias("edges"))))  # one row each
+    n = G.supply_nodes(spark, d).select("id", F.lit(1).alias("n"), F.lit(0).alias("e"))
+    e = G.supply2_edges(spark, d).select(F.lit(None).cast("long").alias("id"), F.lit(0).alias("n"), F.lit(1).alias("e"))
+    return n.unionByName(e).agg(F.sum("n").alias("nodes"), F.min("id").alias("first_id"), F.sum("e").alias("edges"))
 
 
 @query(
