@@ -18,6 +18,8 @@ from .words import mix, rolling, split_words, wide_hashes
 ANCHOR = 5
 #: Hashes of 8 bytes that may be broadcast.
 NODES = 1_000_000
+#: Spans (two numbers each) that may be broadcast to the texts; more are joined to them by an exchange.
+SPANS = 500_000
 _IN, _OUT = np.uint64(0x632BE59BD9B4E019), np.uint64(0x85157AF5B2A5C3D1)
 
 
@@ -91,8 +93,8 @@ def _nodes(window: int, ways: bool):
                 way = mix(mix(before + _IN) ^ (after + _OUT))
                 yield pa.RecordBatch.from_arrays([node, pa.array(way.view(np.int64))], ["node", "way"])
             else:
-                run = batch.column("run").take(pa.array(np.repeat(np.arange(len(spans)), count)))
-                yield pa.RecordBatch.from_arrays([node, run, pa.array(place.astype(np.int32))], ["node", "run", "pos"])
+                number = np.repeat(batch.column("number").to_numpy(zero_copy_only=False), count)
+                yield pa.RecordBatch.from_arrays([node, pa.array(number, pa.int64()), pa.array(place.astype(np.int32))], ["node", "number", "pos"])
 
     return run
 
@@ -147,6 +149,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        whole path, so one row stands for its windows, and its first owner is the smallest id among the runs
        whose words at the path's coordinates agree: the digest of a path is over 128-bit digests of its words.
 
+    Texts move once, to their repeated anchors, and again to their spans where these are too many to be broadcast.
+
     Null text has no words. Rows of null id are neither cut nor a source. Rows of one id are never sources
     for each other; each is returned. Other columns are ignored; an empty table gives an empty result.
     """
@@ -160,13 +164,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = known.withColumn("k", F.xxhash64("t")).join(wanted, "id").select("id", "k", "t", "hs")
     every = work.save(texts.mapInArrow(tidy(_runs(window)), "id long, k long, start int, span binary, run binary"))
     work.drop(wanted)
-    runs = work.save(every.groupBy("run").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("span").alias("span")))
+    runs = every.groupBy("run").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("span").alias("span"))
+    runs = work.save(runs.withColumn("number", F.monotonically_increasing_id()))
     nodes = runs.select("span").mapInArrow(tidy(_nodes(window, True)), "node long, way long")
     marked = nodes.groupBy("node").agg(F.min("way").alias("lo"), F.max("way").alias("hi")).where("lo < hi").select("node")
     marked = work.save(marked)
-    places = runs.select("run", "span").mapInArrow(tidy(_nodes(window, False)), "node long, run binary, pos int")
-    cuts = lookup(places, marked, "node", "left_semi", NODES).groupBy("run").agg(F.collect_set("pos").alias("cuts"))
-    paths = runs.join(cuts, "run", "left").select("run", "span", "cuts", "lo", "hi")
+    places = runs.select("number", "span").mapInArrow(tidy(_nodes(window, False)), "node long, number long, pos int")
+    cuts = lookup(places, marked, "node", "left_semi", NODES).groupBy("number").agg(F.collect_set("pos").alias("cuts"))
+    paths = runs.join(cuts, "number", "left").select("run", "span", "cuts", "lo", "hi")
     paths = work.save(paths.mapInArrow(tidy(_paths(window)), "run binary, start int, size int, path binary, lo long, hi long"))
     work.drop(runs, marked)
     first = work.save(paths.groupBy("path").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("path", "first"))
@@ -177,6 +182,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.select("id", "k", mine.alias("mine")).where(F.size("mine") > 0)
     gone = work.save(gone.groupBy("id", "k").agg(F.flatten(F.collect_set("mine")).alias("spans")))
     work.drop(every, paths, first, owned)
-    full = src.withColumn("k", F.xxhash64("t")).join(gone, ["id", "k"], "left").select("id", "t", "spans")
+    few = (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SPANS
+    full = src.withColumn("k", F.xxhash64("t")).join(F.broadcast(gone) if few else gone, ["id", "k"], "left").select("id", "t", "spans")
     out = full.mapInArrow(tidy(_cut), "id long, n long, gone long, kept string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))
