@@ -51,7 +51,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = personal_spans(table(spark, sf_dir, "documents"))
     counts = [f"n_{k}" for k in BASE]
-    return out.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return out.select(
+        "doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans")
+    )
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
