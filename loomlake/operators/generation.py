@@ -12,7 +12,7 @@ from ..sources.graph_files import read_edges_with_ids
 from ..sources.scratch import written
 from . import partition as P
 
-#: Pieces that a part's edges are laid out in, so that no part is one task.
+#: Pieces that a part's edges are laid out in at least, so that no part is one task.
 PIECES = 8
 
 
@@ -68,10 +68,11 @@ class Table:
         return edges_by_owner(self.edges, placed, include_out_edge)
 
 
-def laid_out(edges: DataFrame) -> DataFrame:
-    """The edges in files by owner, each owner's in several pieces, so a hot part or target is split."""
-    piece = F.pmod(F.xxhash64("eid"), F.lit(PIECES))
-    return written(edges.repartition("owner", piece), partition_by="owner")
+def laid_out(edges: DataFrame, parts: int) -> DataFrame:
+    """The edges in files by owner, each owner's in its share of the shuffle's partitions, so neither a part nor a hot
+    target is one task."""
+    pieces = max(PIECES, -(-int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts))
+    return written(edges.repartition("owner", F.pmod(F.xxhash64("eid"), F.lit(pieces))), partition_by="owner")
 
 
 def generate_graph(nodes: DataFrame, partitioner: Partitioner, parts: int, seed: int = P.SEED, include_out_edge: bool = False) -> Graph:
@@ -82,7 +83,7 @@ def generate_graph(nodes: DataFrame, partitioner: Partitioner, parts: int, seed:
     """
     spark = nodes.sparkSession
     placed = written(P.partition_nodes(nodes, parts, seed))
-    edges = laid_out(partitioner(spark, placed, include_out_edge))
+    edges = laid_out(partitioner(spark, placed, include_out_edge), parts)
     ends = edges.select("owner", F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("src_gid").alias("gid"), F.col("src_part").alias("part_id")), F.struct(F.col("dst").alias("id"), F.col("dst_gid").alias("gid"), F.col("dst_part").alias("part_id")))).alias("n"))
     local = ends.select("owner", "n.*").unionByName(placed.select(F.col("part_id").alias("owner"), "id", "gid", "part_id")).distinct()
     local = local.withColumn("inner_node", F.col("owner") == F.col("part_id"))

@@ -38,10 +38,18 @@ def random_positions(nodes: DataFrame, seed: int = SEED, digits: int = 3) -> Dat
     return ranked.join(F.broadcast(offsets), "bucket").select("id", (F.col("offset") + F.col("rank")).alias("gid"))
 
 
+def hash_digits(n: int, bucket: int = 1_000_000) -> int:
+    """Digits that leave about ``bucket`` of n ids in a bucket; positions do not depend on them."""
+    digits = 3
+    while n > bucket * 16**digits:
+        digits += 1
+    return digits
+
+
 def partition_nodes(nodes: DataFrame, parts: int, seed: int = SEED) -> DataFrame:
     """(id, gid, part_id) of a random balanced partition."""
     n = nodes.count()
-    placed = random_positions(nodes, seed)
+    placed = random_positions(nodes, seed, hash_digits(n))
     return placed.withColumn("part_id", part_of(F.col("gid"), n, parts))
 
 

@@ -39,6 +39,13 @@ def test_positions_in_order_with_a_hot_group(spark):
     assert numbered_in_order(rows.limit(0), ["a"]).collect() == []
 
 
+def test_positions_do_not_depend_on_the_buckets(spark):
+    nodes = spark.range(500)
+    one = {r.id: r.gid for r in P.random_positions(nodes, digits=3).collect()}
+    assert one == {r.id: r.gid for r in P.random_positions(nodes, digits=1).collect()} == {r.id: r.gid for r in P.random_positions(nodes, digits=5).collect()}
+    assert [P.hash_digits(n) for n in (0, 10**9, 10**10, 10**11)] == [3, 3, 4, 5]
+
+
 def test_generated_graph(spark, small, tmp_path):
     nodes, pairs = small
     pairs.coalesce(1).write.parquet(str(tmp_path / "e"))
