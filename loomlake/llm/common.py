@@ -109,11 +109,12 @@ class Workspace:
                 remove(self.spark, path)
 
 
-def lookup(rows: DataFrame, small: DataFrame, on, how: str = "inner", most: int = LOOKUP_ROWS) -> DataFrame:
-    """``rows`` joined to a table that has been written, of one short row a key: broadcast where its number of rows
-    allows, so hot keys do not move; beyond it both sides are scans, and Spark's skew handling splits a hot key (it does
-    not where a side is an aggregate on the same key)."""
-    return rows.join(F.broadcast(small) if small.count() <= most else small, on, how)
+def lookup(rows: DataFrame, small: DataFrame, on, how: str = "inner", most: int = LOOKUP_ROWS, listed: str | None = None) -> DataFrame:
+    """``rows`` joined to a table that has been written, of one short row a key: broadcast where its number of rows (or of
+    the elements of its column ``listed``) allows, so hot keys do not move; beyond it both sides are scans, and Spark's skew
+    handling splits a hot key (it does not where a side is an aggregate on the same key)."""
+    n = small.count() if listed is None else small.agg(F.sum(F.greatest(F.size(listed), F.lit(1)))).first()[0] or 0
+    return rows.join(F.broadcast(small) if n <= most else small, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

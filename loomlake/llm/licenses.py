@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Workspace, lookup
+
 #: Phrases whose every place counts, and their labels.
 BASE = [
     ("cc by", "cc-by"),
@@ -144,7 +146,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.array_sort(F.collect_list(F.struct("start", (F.col("stop") + F.col("size")).alias("end"), "label", "share"))).alias("spans"),
     )
     rows = src.select("id", *row, F.size("w").alias("n"))
-    out = rows.join(found, ["i", "none", "k"], "left")
+    out = lookup(rows, Workspace(docs.sparkSession, "licenses").save(found), ["i", "none", "k"], "left", listed="spans")
     return out.select(
         F.col("id").alias(id_col), F.col("n").cast("long").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"),
         F.col("first_word").cast("long").alias("first_word"), F.col("last_word").cast("long").alias("last_word"),

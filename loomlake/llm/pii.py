@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, lookup
 
 #: Kinds in order, with their patterns. The first four are the base ones. Possessive loops and the look-behind
 #: leave the matches as they are and keep the matcher linear and without recursion on very long runs.
@@ -308,7 +308,8 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     src = docs.select(key.alias("id"), F.col(text_col).alias("t"))
     found = described(candidates(src.withColumn("id", F.hex("id") if dict(src.dtypes)["id"] == "binary" else F.col("id"))))
     # Written (some tens of bytes a candidate, no text), so that the trees see columns, not the patterns behind them.
-    found = Workspace(spark, "pii").save(found.drop("m"))
+    work = Workspace(spark, "pii")
+    found = work.save(found.drop("m"))
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     spans = found.withColumns({"score": model.score(), "base": F.coalesce("valid", F.lit(False))})
     spans = spans.where(F.col("base") | (F.col("score") >= model.least()))
@@ -321,7 +322,8 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.array_sort(F.collect_list(F.when(F.col("base"), F.col("s")))).alias("base"), F.array_sort(F.collect_list("s")).alias("spans"),
     )
     named = src.withColumn("own", F.col("id")).withColumn("id", F.hex("id") if dict(src.dtypes)["id"] == "binary" else F.col("id"))
-    out = named.select("own", *keys()).join(each, ["i", "none", "k"], "left")
+    out = lookup(named.select("own", *keys()), work.save(each), ["i", "none", "k"], "left", listed="spans")
+    work.drop(found)
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,score:double>>")
     return out.select(
         F.col("own").alias(id_col), F.col("k").alias("key"), *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in BASE),

@@ -177,12 +177,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = work.save(paths.groupBy("path").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("path", "first"))
     owned = lookup(paths, first, "path").where("hi > first")
     owned = work.save(owned.groupBy("run").agg(F.collect_list(F.struct("start", "size", "first")).alias("paths")))
-    gone = lookup(every.select("id", "k", "start", "run"), owned, "run")
+    gone = lookup(every.select("id", "k", "start", "run"), owned, "run", listed="paths")
     mine = F.transform(F.filter("paths", lambda p: p["first"] < F.col("id")), lambda p: F.struct((F.col("start") + p["start"]).alias("start"), p["size"].alias("size")))
     gone = gone.select("id", "k", mine.alias("mine")).where(F.size("mine") > 0)
     gone = work.save(gone.groupBy("id", "k").agg(F.flatten(F.collect_set("mine")).alias("spans")))
     work.drop(every, paths, first, owned)
-    few = (gone.agg(F.sum(F.size("spans"))).first()[0] or 0) <= SPANS
-    full = src.withColumn("k", F.xxhash64("t")).join(F.broadcast(gone) if few else gone, ["id", "k"], "left").select("id", "t", "spans")
+    full = lookup(src.withColumn("k", F.xxhash64("t")), gone, ["id", "k"], "left", SPANS, "spans").select("id", "t", "spans")
     out = full.mapInArrow(tidy(_cut), "id long, n long, gone long, kept string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))

@@ -48,7 +48,7 @@ def test_hot_keys_are_broadcast_to_or_split(spark, split, monkeypatch):
 
 @pytest.mark.parametrize("most", [0, 200_000])
 def test_components_of_a_star_and_a_path(spark, monkeypatch, most):
-    monkeypatch.setattr(common.lookup, "__defaults__", ("inner", most))
+    monkeypatch.setattr(common.lookup, "__defaults__", ("inner", most, None))
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3), (2000, 1030)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "components")).collect()
     want = {i: 0 for i in range(400)} | {1000 + i: 1000 for i in range(61)} | {2000: 1000}
