@@ -18,8 +18,8 @@ from .words import mix, rolling, split_words, wide_hashes
 ANCHOR = 5
 #: Hashes of 8 bytes that may be broadcast.
 NODES = 1_000_000
-#: Spans (two numbers each) that may be broadcast to the texts; more are joined to them by an exchange.
-SPANS = 500_000
+#: Places (numbers of 4 bytes, two a span) that may be broadcast to runs or texts; more are joined by an exchange.
+PLACES = 4_000_000
 _IN, _OUT = np.uint64(0x632BE59BD9B4E019), np.uint64(0x85157AF5B2A5C3D1)
 
 
@@ -125,8 +125,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, spans in zip(batch.column("t"), batch.column("spans").to_pylist(), strict=True):
             words = split_words(t.as_py())
             on = np.ones(len(words), bool)
-            for s in spans or []:
-                on[s["start"] : s["start"] + s["size"]] = False
+            for start, size in zip(spans[::2], spans[1::2], strict=True) if spans else ():
+                on[start : start + size] = False
             n.append(len(words))
             gone.append(int(len(words) - on.sum()))
             kept.append(b" ".join([words[i] for i in np.flatnonzero(on)] if gone[-1] else words).decode("utf-8", "surrogatepass"))
@@ -171,17 +171,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = work.save(marked)
     places = runs.select("number", "span").mapInArrow(tidy(_nodes(window, False)), "node long, number long, pos int")
     cuts = lookup(places, marked, "node", "left_semi", NODES).groupBy("number").agg(F.collect_set("pos").alias("cuts"))
-    paths = runs.join(cuts, "number", "left").select("run", "span", "cuts", "lo", "hi")
+    cuts = work.save(cuts)
+    paths = lookup(runs, cuts, "number", "left", PLACES, "cuts").select("run", "span", "cuts", "lo", "hi")
     paths = work.save(paths.mapInArrow(tidy(_paths(window)), "run binary, start int, size int, path binary, lo long, hi long"))
-    work.drop(runs, marked)
+    work.drop(runs, marked, cuts)
     first = work.save(paths.groupBy("path").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("path", "first"))
     owned = lookup(paths, first, "path").where("hi > first")
     owned = work.save(owned.groupBy("run").agg(F.collect_list(F.struct("start", "size", "first")).alias("paths")))
     gone = lookup(every.select("id", "k", "start", "run"), owned, "run", listed="paths")
-    mine = F.transform(F.filter("paths", lambda p: p["first"] < F.col("id")), lambda p: F.struct((F.col("start") + p["start"]).alias("start"), p["size"].alias("size")))
-    gone = gone.select("id", "k", mine.alias("mine")).where(F.size("mine") > 0)
+    mine = F.transform(F.filter("paths", lambda p: p["first"] < F.col("id")), lambda p: F.array(F.col("start") + p["start"], p["size"]))
+    gone = gone.select("id", "k", F.flatten(mine).alias("mine")).where(F.size("mine") > 0)
     gone = work.save(gone.groupBy("id", "k").agg(F.flatten(F.collect_set("mine")).alias("spans")))
     work.drop(every, paths, first, owned)
-    full = lookup(src.withColumn("k", F.xxhash64("t")), gone, ["id", "k"], "left", SPANS, "spans").select("id", "t", "spans")
+    full = lookup(src.withColumn("k", F.xxhash64("t")), gone, ["id", "k"], "left", PLACES, "spans").select("id", "t", "spans")
     out = full.mapInArrow(tidy(_cut), "id long, n long, gone long, kept string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))
