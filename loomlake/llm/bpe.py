@@ -27,7 +27,7 @@ from .common import Workspace, bounded_batches, groups, tidy
 LONG = 16_384
 #: Bytes of text handled at once (one text may have more), bytes of a part that is remembered at most, and parts that a
 #: worker remembers.
-STEP, SHORT, CACHE = 1_000_000, 64, 400_000
+STEP, SHORT, CACHE = 2_000_000, 64, 200_000
 #: A unit that begins this far before a cut, or nearer, may read past it.
 REACH = 4
 #: Units longer than this are joined by merging a window of their tokens, not encoded anew.

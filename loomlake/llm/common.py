@@ -28,7 +28,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 #: Input batches after which a worker gives memory back.
-TIDY = 4
+TIDY = 8
 
 
 def give_back() -> None:
