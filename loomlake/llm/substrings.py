@@ -18,8 +18,6 @@ from .words import mix, rolling, split_words, wide_hashes
 ANCHOR = 5
 #: Hashes of 8 bytes that may be broadcast.
 NODES = 1_000_000
-#: Places (numbers of 4 bytes, two a span) that may be broadcast to runs or texts; more are joined by an exchange.
-PLACES = 4_000_000
 _IN, _OUT = np.uint64(0x632BE59BD9B4E019), np.uint64(0x85157AF5B2A5C3D1)
 
 
@@ -149,7 +147,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
        whole path, so one row stands for its windows, and its first owner is the smallest id among the runs
        whose words at the path's coordinates agree: the digest of a path is over 128-bit digests of its words.
 
-    Texts move once, to their repeated anchors, and again to their spans where these are too many to be broadcast.
+    Texts move twice: to their repeated anchors, and to their spans. Broadcasting these where they are few would make
+    small inputs tell nothing of large ones.
 
     Null text has no words. Rows of null id are neither cut nor a source. Rows of one id are never sources
     for each other; each is returned. Other columns are ignored; an empty table gives an empty result.
@@ -171,10 +170,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = work.save(marked)
     places = runs.select("number", "span").mapInArrow(tidy(_nodes(window, False)), "node long, number long, pos int")
     cuts = lookup(places, marked, "node", "left_semi", NODES).groupBy("number").agg(F.collect_set("pos").alias("cuts"))
-    cuts = work.save(cuts)
-    paths = lookup(runs, cuts, "number", "left", PLACES, "cuts").select("run", "span", "cuts", "lo", "hi")
+    paths = runs.join(cuts, "number", "left").select("run", "span", "cuts", "lo", "hi")
     paths = work.save(paths.mapInArrow(tidy(_paths(window)), "run binary, start int, size int, path binary, lo long, hi long"))
-    work.drop(runs, marked, cuts)
+    work.drop(runs, marked)
     first = work.save(paths.groupBy("path").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).where("first < last").select("path", "first"))
     owned = lookup(paths, first, "path").where("hi > first")
     owned = work.save(owned.groupBy("run").agg(F.collect_list(F.struct("start", "size", "first")).alias("paths")))
@@ -183,6 +181,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gone = gone.select("id", "k", F.flatten(mine).alias("mine")).where(F.size("mine") > 0)
     gone = work.save(gone.groupBy("id", "k").agg(F.flatten(F.collect_set("mine")).alias("spans")))
     work.drop(every, paths, first, owned)
-    full = lookup(src.withColumn("k", F.xxhash64("t")), gone, ["id", "k"], "left", PLACES, "spans").select("id", "t", "spans")
+    full = src.withColumn("k", F.xxhash64("t")).join(gone, ["id", "k"], "left").select("id", "t", "spans")
     out = full.mapInArrow(tidy(_cut), "id long, n long, gone long, kept string")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_words"), F.col("gone").alias("n_removed"), F.col("kept").alias("kept_text"))
